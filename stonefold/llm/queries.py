@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from stonefold.llm.packing import op3_packing
 from stonefold.llm.sentencepiece_codec import op1_sentencepiece
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_packing": op3_packing,
 }
 
 #: DuckDB SQL by query; a query that SQL cannot express has a brute-force test instead.

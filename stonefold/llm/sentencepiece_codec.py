@@ -9,8 +9,8 @@ Arrow batch's new parts are encoded by the sentencepiece library too; a
 difference stops the job.
 
 Defined results: a null text is the empty text; the empty text has only the
-begin and end ids; all other columns pass through, in place and by position,
-so clashing names do no harm; an empty table gives an empty table; repeated
+begin and end ids; all other columns pass through, but for those that bear
+the name of an output column, which the output replaces; an empty table gives an empty table; repeated
 rows give repeated rows. Texts of any length are encoded whole.
 """
 
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from stonefold.llm.common import FLUSH_BYTES, texts
 
@@ -211,8 +212,9 @@ def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", ids_co
     One pass over the rows, no shuffle; a worker holds one batch and a bounded
     memory of parts.
     """
+    df = df.drop(*({ids_col, decoded_col} - {text_col}))
     at = df.columns.index(text_col)
-    schema = df.schema.add(ids_col, "binary").add(decoded_col, "string")
+    schema = StructType([*df.schema.fields, StructField(ids_col, BinaryType()), StructField(decoded_col, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
