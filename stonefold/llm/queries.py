@@ -7,11 +7,13 @@ from stonefold.llm.packing import op3_packing
 from stonefold.llm.quality_rules import OP5_SQL, op5_quality_rules
 from stonefold.llm.sentencepiece_codec import op1_sentencepiece
 from stonefold.llm.simhash import op10_simhash
+from stonefold.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_packing": op3_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc": op6_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_simhash": op10_simhash,
 }
@@ -19,5 +21,6 @@ QUERIES = {
 #: DuckDB SQL by query; a query that SQL cannot express has a brute-force test instead.
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
+    "op6_warc": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
