@@ -26,6 +26,7 @@ text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -41,38 +42,49 @@ from stonefold.llm.common import checkpoint, texts
 CAPACITY = 4096
 END_ID = 1
 #: Most remembered words in a Python worker (some 200 bytes each).
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank_in_part long"
 
 
 class WordTokenizer:
-    """Ids of whole texts, a white-space-delimited word at a time, as tokenizers gives them.
+    """Ids of whole texts, a word at a time, as tokenizers gives them.
 
     The vocabulary's pre-tokenizer never crosses white space and drops it, and
-    normalization stays within words, so a text's ids are its words' ids. Only
-    ASCII white space is cut here; the library deals with the rest.
+    normalization lower-cases and stays within words, so a text's ids are its
+    words' ids. A blank between an ASCII letter and punctuation changes
+    nothing either, since letters and other characters are never in one
+    pre-token; the apostrophe (contractions) and the characters of the special
+    tokens are left alone. The library deals with all else.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.apart = re.compile(rb"(?<=[a-z])(?=[.,!?;:\"#%&$*()])").sub
         self.memo: dict[bytes, bytes] = {}
 
-    def encode_all(self, docs: list[str]) -> Iterator[np.ndarray]:
-        memo = self.memo
-        split = [text.encode().split() for text in docs]
-        fresh = list({w for words in split for w in words if w not in memo})
-        if fresh and len(memo) + len(fresh) > MEMO_WORDS:
-            memo.clear()
-            fresh = list({w for words in split for w in words})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            found = self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            memo.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        for words in split:
-            yield np.frombuffer(b"".join([memo[w] for w in words]), "<u4")
+    def encode_all(self, docs: list[str]) -> Iterator[bytes]:
+        """Packed little-endian unsigned 32-bit ids of each text."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        get, rows, fresh = self.memo.get, [], set()
+        for text in docs:
+            words = self.apart(b" ", text.encode().lower()).split()
+            found = list(map(get, words))
+            missing = [(i, words[i]) for i, x in enumerate(found) if x is None] if None in found else []
+            fresh.update([w for _, w in missing])
+            rows.append((found, missing))
+        order = list(fresh)
+        for at in range(0, len(order), 20_000):
+            some = order[at : at + 20_000]
+            encoded = self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            self.memo.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in encoded], strict=True))
+        for found, missing in rows:
+            for i, w in missing:
+                found[i] = self.memo[w]
+            yield b"".join(found)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -93,17 +105,17 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = tokenizer(tokenizer_path), TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
-        last = np.array([end_id], "<u4")
+        seen = [0] * (capacity + 1)
+        last, full = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some, rows = batch.slice(at, 512), []
                 for doc_id, ids in zip(some.column(0).to_pylist(), own.encode_all(texts(some.column(1))), strict=True):
-                    ids = np.concatenate([ids, last])
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        cut = ids[start : start + capacity]
-                        n = len(cut)
-                        rows.append((doc_id, piece, start, n, zlib.crc32(cut.tobytes()), part, seen[n]))
+                    ids += last
+                    for piece, start in enumerate(range(0, len(ids), full)):
+                        cut = ids[start : start + full]
+                        n = len(cut) // 4
+                        rows.append((doc_id, piece, start // 4, n, zlib.crc32(cut), part, seen[n]))
                         seen[n] += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank_in_part"]
