@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stonefold.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from stonefold.llm.kneser_ney import op4_quality_classifier
 from stonefold.llm.packing import op3_packing
 from stonefold.llm.quality_rules import OP5_SQL, op5_quality_rules
 from stonefold.llm.sentencepiece_codec import op1_sentencepiece
@@ -13,6 +14,7 @@ from stonefold.llm.warc import OP6_SQL, op6_warc
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_packing": op3_packing,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
     "op8_exact_dedup": op8_exact_dedup,
