@@ -8,6 +8,7 @@ from stonefold.llm.packing import op3_packing
 from stonefold.llm.quality_rules import OP5_SQL, op5_quality_rules
 from stonefold.llm.sentencepiece_codec import op1_sentencepiece
 from stonefold.llm.simhash import op10_simhash
+from stonefold.llm.toxicity import op7_toxicity
 from stonefold.llm.url_filter import op9_url_filter
 from stonefold.llm.warc import OP6_SQL, op6_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
