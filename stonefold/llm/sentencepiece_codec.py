@@ -30,7 +30,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from stonefold.llm.common import FLUSH_BYTES, texts
 
 #: Most remembered parts in a Python worker (some 200 bytes each).
-MEMO_PARTS = 600_000
+MEMO_PARTS = 900_000
 SPACE = "▁"
 
 
