@@ -160,34 +160,28 @@ def spread(counts: DataFrame) -> DataFrame:
     return counts.mapInArrow(run, "block int, g long, n long")
 
 
-def discounts(counts: DataFrame) -> DataFrame:
-    """(k, d1, d2, d3) of one order, from its counts of counts: one row."""
-    n = counts.agg(F.lit(1).alias("k"), *[F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
-    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-
-    def d(i: int) -> Column:
-        raw = F.lit(float(i)) - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
-        return F.coalesce(F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), raw)), F.lit(i / 2)).alias(f"d{i}")
-
-    return n.select("k", d(1), d(2), d(3))
+def discounts(counts: DataFrame) -> tuple[float, float, float]:
+    """What is taken off a count of one, two, and three or more, from the counts of counts."""
+    n = [0, *counts.agg(*[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).first()]
+    if not n[1]:
+        return 0.5, 1.0, 1.5
+    y = n[1] / (n[1] + 2 * n[2])
+    return tuple(min(i - 0.05, max(0.05, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] else i / 2 for i in (1, 2, 3))
 
 
 def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(g, p) of every n-gram of `counts(g, c)`, those with c = 0 included: interpolated modified Kneser-Ney."""
-    seen = counts.where("c > 0").withColumn("k", F.lit(1)).join(F.broadcast(discounts(counts)), "k")  # one row
-    cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    context = seen.withColumn("cut", cut).groupBy(F.shiftright("g", 8).alias("h")).agg(F.sum("c").alias("total"), F.sum("cut").alias("mass"))
-    own = counts.withColumn("k", F.lit(1)).join(F.broadcast(discounts(counts)), "k").select("g", F.shiftright("g", 8).alias("h"), F.when(F.col("c") > 0, F.col("c") - cut).otherwise(F.lit(0.0)).alias("kept"))
-    own = own.join(context, "h", "left")
-    if order == 1:
-        lower = F.lit(1 / 256)
-        below = own
-    else:
+    d = [F.lit(x) for x in discounts(counts)]
+    cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).when(F.col("c") > 2, d[2]).otherwise(F.lit(0.0))
+    context = counts.where("c > 0").groupBy(F.shiftright("g", 8).alias("h")).agg(F.sum("c").alias("total"), F.sum(cut).alias("mass"))
+    own = counts.select("g", F.shiftright("g", 8).alias("h"), (F.col("c") - cut).alias("kept")).join(context, "h", "left")
+    lower = F.lit(1 / 256)
+    if order > 1:
         suffix = F.col("g").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
         shorter = checkpoint(counts.groupBy(suffix.alias("g")).agg(F.count_if(F.col("c") > 0).alias("c")))
-        below = own.withColumn("s", suffix).join(probabilities(shorter, order - 1).select(F.col("g").alias("s"), F.col("p").alias("lower")), "s")
+        own = own.withColumn("s", suffix).join(probabilities(shorter, order - 1).select(F.col("g").alias("s"), F.col("p").alias("lower")), "s")
         lower = F.col("lower")
-    return below.select("g", F.coalesce((F.col("kept") + F.col("mass") * lower) / F.col("total"), lower).alias("p"))
+    return own.select("g", F.coalesce((F.col("kept") + F.col("mass") * lower) / F.col("total"), lower).alias("p"))
 
 
 def score_blocks(packed: DataFrame, known: DataFrame) -> DataFrame:
@@ -216,12 +210,11 @@ def score_blocks(packed: DataFrame, known: DataFrame) -> DataFrame:
     return packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, lang string, n_bytes long, bits double")
 
 
-def thresholds(scored: DataFrame) -> DataFrame:
-    """(lang, threshold): a bounded sketch's quantile of trusted scores times the slack, for every language."""
-    sketch = F.percentile_approx(F.when(F.col("trusted"), F.col("score")), QUANTILE, 10_000)
-    by_lang = scored.groupBy("lang").agg(sketch.alias("own"), F.count_if("trusted").alias("n"), F.lit(1).alias("k"))
-    overall = scored.agg(sketch.alias("all"), F.lit(1).alias("k"))
-    return by_lang.join(F.broadcast(overall), "k").select("lang", (F.when(F.col("n") >= MIN_TRUSTED, F.col("own")).otherwise(F.col("all")) * SLACK).alias("threshold"))
+def by_language(rows: DataFrame, value: Column) -> DataFrame:
+    """(lang, value) of every language of `rows`: `value`, an aggregate, of its trusted rows, or of all trusted ones where they are few."""
+    overall = rows.where("trusted").agg(value).first()[0]
+    own = rows.groupBy("lang").agg(value.alias("own"), F.count_if("trusted").alias("n"))
+    return own.select("lang", F.when(F.col("n") >= MIN_TRUSTED, F.col("own")).otherwise(F.lit(overall).cast("double")).alias("value"))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -235,13 +228,12 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     known = requests.select("block", "g").join(probabilities(counts), "g").select("block", "g", (-F.log2("p")).cast("float").alias("bits"))
     raw = score_blocks(packed, known).join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left")
     raw = checkpoint(raw.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
-    mean = raw.where("trusted").groupBy("lang").agg((F.sum("bits") / F.sum("n_bytes")).alias("own"), F.count("*").alias("n"))
-    overall = raw.where("trusted").agg((F.sum("bits") / F.sum("n_bytes")).alias("all"), F.lit(1).alias("k"))
-    means = raw.select("lang").distinct().withColumn("k", F.lit(1)).join(F.broadcast(overall), "k").alias("x").join(mean.alias("m"), F.expr("x.lang <=> m.lang"), "left")
-    means = means.select(F.col("x.lang").alias("lang"), F.when(F.col("n") >= MIN_TRUSTED, F.col("own")).otherwise(F.col("all")).alias("mean"))
-    scored = raw.alias("r").join(means.alias("s"), F.expr("r.lang <=> s.lang"), "left").select("r.*", ((F.col("bits") + F.col("mean") * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)).alias("score"))
-    limits = thresholds(scored)
-    out = scored.alias("r").join(limits.alias("t"), F.expr("r.lang <=> t.lang"), "left")
+    of_trusted = lambda c: F.when(F.col("trusted"), F.col(c))
+    means = by_language(raw, F.sum(of_trusted("bits")) / F.sum(of_trusted("n_bytes"))).withColumnRenamed("value", "mean")
+    scored = raw.alias("r").join(means.alias("s"), F.expr("r.lang <=> s.lang")).select("r.*", ((F.col("bits") + F.col("mean") * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)).alias("score"))
+    # a sketch of bounded size
+    limits = by_language(scored, F.percentile_approx(of_trusted("score"), QUANTILE, 10_000)).select("lang", (F.col("value") * SLACK).alias("threshold"))
+    out = scored.alias("r").join(limits.alias("t"), F.expr("r.lang <=> t.lang"))
     rejected = F.coalesce(F.col("score") > F.col("threshold"), F.lit(False)) & (F.col("n_bytes") > 0)
     return out.select("doc_id", "r.lang", "n_bytes", "score", F.pow(F.lit(2.0), "score").alias("perplexity"), "threshold", rejected.alias("rejected"))
 
