@@ -2,17 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from stonefold.plans import analysis, storage
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole-object deduplication: total and unique bytes and their ratio."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("sha2(text, 256) AS id", "octet_length(text) AS size").groupBy("id").agg({"size": "max", "*": "count"}).selectExpr("sum(`count(1)`) AS n_objects", "count(*) AS n_unique", "sum(`max(size)` * `count(1)`) AS raw_bytes", "sum(`max(size)`) AS unique_bytes")
-
-
-QUERIES["dedup_report"] = dedup_report
+QUERIES = storage.query.queries | analysis.query.queries
+ORACLE_SQL = storage.query.oracle_sql | analysis.query.oracle_sql
