@@ -97,7 +97,8 @@ def host_rates(failures: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """All figures and rule failures of every row, `base_failed`, `host_rejected` and `kept`."""
     rows = with_failures(checkpoint(figures(docs, id_col, text_col, host_col)))
-    verdicts = host_rates(rows).groupBy("host").agg(F.max(F.col("rate") > MAX_HOST_RATE).alias("host_rejected"))
+    # a join of two plain tables, so that adaptive execution can split a hot host
+    verdicts = checkpoint(host_rates(rows).groupBy("host").agg(F.max(F.col("rate") > MAX_HOST_RATE).alias("host_rejected")))
     base = F.col("few_words") | F.col("repetitive")
     return rows.join(verdicts, "host").withColumns({"base_failed": base, "kept": ~base & ~F.col("host_rejected")})
 
