@@ -174,7 +174,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_
     member = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
     least = member.join(nodes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component"))
     named = nodes.join(member.join(least, "root").select(F.col("node").alias("fp"), "component"), "fp", "left")
-    return rows.join(named.select("fp", F.coalesce("component", "least").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+    # a join of two plain tables, so that adaptive execution can split a hot fingerprint
+    named = checkpoint(named.select("fp", F.coalesce("component", "least").alias("component_id")))
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
