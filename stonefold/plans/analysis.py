@@ -596,7 +596,7 @@ def walked(spark, d) -> DataFrame:
     return sql("SELECT slot, concat(category, '/', CASE ino % 4 WHEN 0 THEN 'target/x' WHEN 1 THEN '.git/y' ELSE 'z' END, '/', ino) AS path, CASE ino % 10 WHEN 0 THEN 'symlink' WHEN 1 THEN 'fifo' ELSE 'file' END AS kind, size, 1 AS dev, CASE WHEN ino % 7 = 0 THEN ino DIV 70 ELSE ino + 1000000 END AS ino, CASE WHEN ino % 7 = 0 THEN 2 ELSE 1 END AS nlink, CASE WHEN ino % 90 = 3 THEN 'EACCES' END AS error FROM {f}", f=view(spark, d, "files"))
 
 
-@query(WALK + " SELECT e.slot, count(*) FILTER (kind = 'symlink') AS symlinks, count(*) FILTER (kind = 'fifo') AS special, any_value(f.files) AS files, CAST(any_value(f.bytes) AS BIGINT) AS bytes, any_value(f.t) AS n_target, CAST(0 AS BIGINT) AS n_node_modules, any_value(f.g) AS n_git, any_value(f.files - f.t - f.g) AS n_source, count(*) FILTER (kind = 'file') - coalesce(any_value(f.files), 0) AS hardlink_dupes FROM e LEFT JOIN (SELECT slot, count(*) AS files, sum(size) AS bytes, count(*) FILTER (path LIKE '%/target/%') AS t, count(*) FILTER (path LIKE '%/.git/%') AS g FROM k GROUP BY slot) f ON e.slot = f.slot GROUP BY e.slot", "files")
+@query(WALK + " SELECT e.slot, count(*) FILTER (kind = 'symlink') AS symlinks, count(*) FILTER (kind = 'fifo') AS special, coalesce(any_value(f.files), 0) AS files, CAST(coalesce(any_value(f.bytes), 0) AS BIGINT) AS bytes, coalesce(any_value(f.t), 0) AS n_target, CAST(0 AS BIGINT) AS n_node_modules, coalesce(any_value(f.g), 0) AS n_git, coalesce(any_value(f.files - f.t - f.g), 0) AS n_source, count(*) FILTER (kind = 'file') - coalesce(any_value(f.files), 0) AS hardlink_dupes FROM e LEFT JOIN (SELECT slot, count(*) AS files, sum(size) AS bytes, count(*) FILTER (path LIKE '%/target/%') AS t, count(*) FILTER (path LIKE '%/.git/%') AS g FROM k GROUP BY slot) f ON e.slot = f.slot GROUP BY e.slot", "files")
 def slot_walk(spark, d):
     """Files of each slot, every inode once, by category (2.1.1)."""
     return walk.slot_walk(walked(spark, d))

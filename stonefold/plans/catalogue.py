@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stonefold.plans import analysis, storage
+from stonefold.plans import analysis, records, storage
 
-QUERIES = storage.query.queries | analysis.query.queries
-ORACLE_SQL = storage.query.oracle_sql | analysis.query.oracle_sql
+QUERIES = storage.query.queries | analysis.query.queries | records.query.queries
+ORACLE_SQL = storage.query.oracle_sql | analysis.query.oracle_sql | records.query.oracle_sql

@@ -29,7 +29,7 @@ def slot_walk(entries: DataFrame) -> DataFrame:
     files = first_links(entries, "slot, path").withColumn("category", paths.corpus_category(F.col("path")))
     counts = sql("SELECT slot, count_if(kind = 'symlink') AS symlinks, count_if(kind NOT IN ('file', 'symlink', 'dir')) AS special, count_if(kind = 'file') AS file_names FROM {e} GROUP BY slot", e=entries)
     own = files.groupBy("slot").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), *[F.count_if(F.col("category") == c).alias(f"n_{c.strip('.')}") for c in ("target", "node_modules", ".git", "source")])
-    return counts.join(own, "slot", "left").withColumn("hardlink_dupes", F.col("file_names") - F.coalesce("files", F.lit(0))).drop("file_names")
+    return counts.join(own, "slot", "left").na.fill(0).withColumn("hardlink_dupes", F.col("file_names") - F.col("files")).drop("file_names")
 
 
 def classes(entries: DataFrame) -> DataFrame:
