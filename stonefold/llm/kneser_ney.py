@@ -229,10 +229,12 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     raw = score_blocks(packed, known).join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left")
     raw = checkpoint(raw.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
     of_trusted = lambda c: F.when(F.col("trusted"), F.col(c))
-    means = by_language(raw, F.sum(of_trusted("bits")) / F.sum(of_trusted("n_bytes"))).withColumnRenamed("value", "mean")
+    # joins of plain tables, so that adaptive execution can split a hot language
+    means = checkpoint(by_language(raw, F.sum(of_trusted("bits")) / F.sum(of_trusted("n_bytes"))).withColumnRenamed("value", "mean"))
     scored = raw.alias("r").join(means.alias("s"), F.expr("r.lang <=> s.lang")).select("r.*", ((F.col("bits") + F.col("mean") * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)).alias("score"))
+    scored = checkpoint(scored)
     # a sketch of bounded size
-    limits = by_language(scored, F.percentile_approx(of_trusted("score"), QUANTILE, 10_000)).select("lang", (F.col("value") * SLACK).alias("threshold"))
+    limits = checkpoint(by_language(scored, F.percentile_approx(of_trusted("score"), QUANTILE, 10_000)).select("lang", (F.col("value") * SLACK).alias("threshold")))
     out = scored.alias("r").join(limits.alias("t"), F.expr("r.lang <=> t.lang"))
     rejected = F.coalesce(F.col("score") > F.col("threshold"), F.lit(False)) & (F.col("n_bytes") > 0)
     return out.select("doc_id", "r.lang", "n_bytes", "score", F.pow(F.lit(2.0), "score").alias("perplexity"), "threshold", rejected.alias("rejected"))
