@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,12 +117,9 @@ def name_key(name: Column) -> Column:
 
 def name_key_any(name: Column) -> Column:
     """`name_key` of names in any Unicode form (compose, lower, compose), by Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def folded(names: pd.Series) -> pd.Series:
-        import unicodedata
-
         nfc = lambda s: unicodedata.normalize("NFC", s)
         return names.map(lambda s: None if s is None else nfc(nfc(s).lower()))
 

@@ -12,7 +12,7 @@ MAX_DEPTH = 64
 
 
 def manifest(spark: SparkSession, folder: str, digest: bool = True) -> DataFrame:
-    """path, size, mtime and SHA-256 of every file below a folder, through Spark's binaryFile source; without the digest, contents are not read."""
+    """path, size, mtime and SHA-256 of every file below a folder, through Spark's binaryFile source; without the digest, contents are not read. Spark leaves out names that begin with a dot or underscore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     rel = F.regexp_replace("path", "^[a-z]+:/*", "/")
     columns = [rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
