@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAME_MAX, BASE_NAME_MAX = 255, 240
+#: What names of interrupted swaps contain.
 RESERVED = ".swap~"
 
 #: Class and pattern, in order of priority.

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INODE_BITS = 40
-SNAPSHOT_MAX = 1 << 23
+SNAPSHOT_MAX = 1 << 24
 
 
 def block_id(data: Column) -> Column:
@@ -20,8 +20,8 @@ def node_id(data: Column, domain: str = "tree node\0") -> Column:
 
 
 def pack_inode(snapshot: Column, inode: Column) -> Column:
-    """snapshot << 40 | inode; null where either is out of range."""
-    fits = (snapshot >= 0) & (snapshot < SNAPSHOT_MAX) & (inode >= 0) & (inode < (1 << INODE_BITS))
+    """snapshot << 40 | inode; null where either is out of range. The upper half of snapshot ids gives negative longs, which unpack alike."""
+    fits = (snapshot > 0) & (snapshot < SNAPSHOT_MAX) & (inode >= 0) & (inode < (1 << INODE_BITS))
     return F.when(fits, F.shiftleft(snapshot.cast("long"), INODE_BITS).bitwiseOR(inode.cast("long")))
 
 
@@ -57,14 +57,16 @@ def errno(error: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in ERRNO.items() for x in pair]), error)
 
 
+#: How assertions name what they tried, and names made up for a run.
 TRIED = r"tried '([^']*)'"
-GENERATED = r"pjdfstest_[0-9a-f]{32,}"
+GENERATED = r"pjdfstest_[0-9a-f]{6,}"
+NAME_TOKEN = r"pjdfstest_[0-9a-f]{6,}|\$\{(?:n[0-9x]*|name)\}|\$n[0-9]+"
 
 
 def operation_key(detail: Column) -> Column:
     """The operation that an assertion's text names, generated names numbered by place; null where it names none."""
     tried = F.regexp_extract(detail, TRIED, 1)
-    parts = F.split(F.trim(tried), GENERATED)
+    parts = F.split(F.trim(tried), NAME_TOKEN)
     numbered = F.aggregate(F.slice(parts, 2, 1 << 20), F.struct(parts[0].alias("s"), F.lit(1).alias("i")), lambda a, p: F.struct(F.concat(a.s, F.lit("<gen"), a.i.cast("string"), F.lit(">"), p).alias("s"), (a.i + 1).alias("i")), lambda a: a.s)
     return F.when(detail.rlike(TRIED), numbered)
 

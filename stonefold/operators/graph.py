@@ -25,13 +25,13 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     subtrees are walked once and cycles end. Only the frontier's emptiness
     comes to the driver.
     """
-    seen = cut_lineage(roots.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
+    seen = frontier = cut_lineage(roots.select("id").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
     while not frontier.isEmpty():
         depth += 1
         step = edges.join(frontier, edges["parent"] == frontier["id"]).select(F.col("child").alias("id")).distinct()
         frontier = cut_lineage(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = cut_lineage(seen.union(frontier))
+        seen = seen.union(frontier)  # of checkpointed tables
     return seen
 
 
@@ -44,7 +44,7 @@ def mark(edges: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
     while not frontier.isEmpty():
         step = frontier.join(edges, frontier["id"] == edges["parent"]).select("root", F.col("child").alias("id")).distinct()
         frontier = cut_lineage(step.join(marks, ["root", "id"], "left_anti"))
-        marks = cut_lineage(marks.union(frontier))
+        marks = marks.union(frontier)
     return kept.unionByName(marks)
 
 

@@ -13,7 +13,28 @@ from pyspark.sql import functions as F
 from stonefold.operators.base import sql
 
 #: Error numbers of Linux.
-ERRNO = {"NotFound": 2, "Io": 5, "Exists": 17, "NotDir": 20, "IsDir": 21, "Invalid": 22, "NoSpace": 28, "ReadOnly": 30, "NameTooLong": 36, "NotEmpty": 39, "Stale": 116}
+ERRNO = {
+    "NotFound": 2,
+    "Io": 5,
+    "Corrupt": 5,
+    "Retry": 11,
+    "PermissionDenied": 13,
+    "Exists": 17,
+    "CrossDevice": 18,
+    "NotDir": 20,
+    "IsDir": 21,
+    "InvalidArgument": 22,
+    "FileTooBig": 27,
+    "NoSpace": 28,
+    "ReadOnly": 30,
+    "TooManyLinks": 31,
+    "Range": 34,
+    "NameTooLong": 36,
+    "NotEmpty": 39,
+    "NoAttr": 61,
+    "NotSupported": 95,
+    "Stale": 116,
+}
 SPECIAL = ("fifo", "socket", "char", "block")
 
 
@@ -24,7 +45,7 @@ def getattr_of(inodes: DataFrame, *columns: str) -> DataFrame:
 
 def readlink(inodes: DataFrame, ino: int) -> DataFrame:
     """The target of a link, or the error that it is none."""
-    return inodes.where(F.col("ino") == ino).select("ino", F.when(F.col("kind") == "symlink", F.col("target")).alias("target"), F.when(F.col("kind") != "symlink", "Invalid").alias("error"))
+    return inodes.where(F.col("ino") == ino).select("ino", F.when(F.col("kind") == "symlink", F.col("target")).alias("target"), F.when(F.col("kind") != "symlink", "InvalidArgument").alias("error"))
 
 
 def lookup(entries: DataFrame, inodes: DataFrame, requests: DataFrame) -> DataFrame:
@@ -114,7 +135,7 @@ def rename(entries: DataFrame, request: tuple[int, str, int, str], replace: bool
     if found["kind"] == "d":
         up = sql(f"WITH RECURSIVE up(ino) AS (SELECT CAST({dst} AS BIGINT) UNION ALL SELECT e.dir FROM up JOIN {{e}} e ON e.child = up.ino) SELECT 1 FROM up WHERE ino = {found['child']}", e=entries.where("kind = 'd'"))
         if not up.isEmpty():
-            return entries, "Invalid"
+            return entries, "InvalidArgument"
     taken = (F.col("dir") == dst) & (F.col("name") == to)
     if not replace and not entries.where(taken).isEmpty():
         return entries, "Exists"

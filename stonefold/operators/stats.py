@@ -116,7 +116,7 @@ def foreign_cpu(cpu: DataFrame, own: DataFrame, top: int = 3) -> DataFrame:
 def paired_with_preceding(rows: DataFrame, key: str, order: str, base: str) -> DataFrame:
     """Each row of another side with the last base row before it in its group; a base row is taken once, by the first that follows it."""
     return sql(
-        f"""SELECT {key}, side, base_value, value, value / base_value AS ratio FROM (
+        f"""SELECT {key}, side, base_value, value, try_divide(value, base_value) AS ratio FROM (
               SELECT *, row_number() OVER (PARTITION BY {key}, base_at ORDER BY {order}) AS nth FROM (
                 SELECT *, last(CASE WHEN side = '{base}' THEN value END, true) OVER w AS base_value, last(CASE WHEN side = '{base}' THEN {order} END, true) OVER w AS base_at
                 FROM {{r}} WINDOW w AS (PARTITION BY {key} ORDER BY {order} ROWS UNBOUNDED PRECEDING)) WHERE side <> '{base}' AND base_at IS NOT NULL) WHERE nth = 1""",

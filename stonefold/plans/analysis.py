@@ -559,11 +559,11 @@ def reason_classes(spark, d):
 DETAILS = "CASE id % 4 WHEN 0 THEN 'tried ''-u 65534 open f 0644'', expected 0, got EPERM' WHEN 1 THEN 'tried ''0644 mkdir d'', expected EEXIST' WHEN 2 THEN 'nothing' ELSE 'tried ''-x'', got 0 ' END"
 
 
-@query(" SELECT id, CASE id % 4 WHEN 0 THEN '-u 65534 open f 0644' WHEN 1 THEN '0644 mkdir d' WHEN 3 THEN '-x' END AS op, CASE id % 4 WHEN 0 THEN 'EPERM' WHEN 1 THEN '(empty)' WHEN 2 THEN '(textless)' ELSE '0' END AS outcome, CASE id % 4 WHEN 0 THEN '65534' WHEN 1 THEN 'mkdir' WHEN 2 THEN '(textless)' ELSE '(no syscall)' END AS call, CASE id % 4 WHEN 0 THEN 2 WHEN 1 THEN 17 WHEN 2 THEN 39 END AS errno FROM blocks", "blocks")
+@query(" SELECT id, CASE id % 4 WHEN 0 THEN '-u 65534 open f 0644' WHEN 1 THEN '0644 mkdir d' WHEN 3 THEN '-x' END AS op, CASE id % 4 WHEN 0 THEN 'EPERM' WHEN 1 THEN '(empty)' WHEN 2 THEN '(textless)' ELSE '0' END AS outcome, CASE id % 4 WHEN 0 THEN '65534' WHEN 1 THEN 'mkdir' WHEN 2 THEN '(textless)' ELSE '(no syscall)' END AS call, CASE id % 4 WHEN 0 THEN 2 WHEN 1 THEN 17 WHEN 2 THEN 39 ELSE 22 END AS errno FROM blocks", "blocks")
 def assertion_texts(spark, d):
     """Operation keys, outcomes, first calls, error numbers (2.9.9 to 2.9.12, 2.9.14)."""
     b = view(spark, d, "blocks").withColumn("t", F.expr(DETAILS.replace("''", "\\'")))
-    error = F.expr("CASE id % 4 WHEN 0 THEN 'NotFound' WHEN 1 THEN 'Exists' WHEN 2 THEN 'NotEmpty' ELSE 'other' END")
+    error = F.expr("CASE id % 4 WHEN 0 THEN 'NotFound' WHEN 1 THEN 'Exists' WHEN 2 THEN 'NotEmpty' ELSE 'InvalidArgument' END")
     return b.select("id", scalars.operation_key(F.col("t")).alias("op"), scalars.outcome_text(F.col("t")).alias("outcome"), scalars.first_call(F.col("t")).alias("call"), scalars.errno(error).alias("errno"))
 
 

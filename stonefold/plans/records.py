@@ -106,7 +106,7 @@ def rename_entry(spark, d):
     e = tree_entries(spark, d)
     same, error = namespace.rename(e, (1, "n2", 9, "x"))
     moved, _ = namespace.rename(same, (4, "n9", 3, "moved"))
-    return moved.select("dir", "name", "child").where(F.lit(error == "Invalid"))
+    return moved.select("dir", "name", "child").where(F.lit(error == "InvalidArgument"))
 
 
 @query(", m AS (SELECT max(id) AS m FROM blocks) SELECT id // 2 AS dir, id AS child FROM blocks, m WHERE id > 1 AND NOT (id * 2 > m AND id % 2 = 0)", "blocks")
@@ -118,7 +118,7 @@ def rmdir_entries(spark, d):
     return namespace.rmdir(e, inodes, e.where("child % 2 = 0").select("dir", "name"))[0].select("dir", "child")
 
 
-@query(" SELECT id AS ino, CASE WHEN id % 2 = 0 THEN codec END AS target, CASE WHEN id % 2 = 1 THEN 'Invalid' END AS error FROM blocks WHERE id = 8", "blocks")
+@query(" SELECT id AS ino, CASE WHEN id % 2 = 0 THEN codec END AS target, CASE WHEN id % 2 = 1 THEN 'InvalidArgument' END AS error FROM blocks WHERE id = 8", "blocks")
 def readlink(spark, d):
     """A link's target (2.2.2)."""
     return namespace.readlink(view(spark, d, "blocks").selectExpr("id AS ino", "CASE WHEN id % 2 = 0 THEN 'symlink' ELSE 'file' END AS kind", "codec AS target"), 8)

@@ -333,7 +333,7 @@ def chunk_ref_faults(spark, d):
     return extents.invalid_refs(rows, 45, 40).select("file", "ord", "why")
 
 
-@query(" SELECT id, sha256(codec) AS block_id, CASE WHEN id % 3 > 0 THEN (id % 1000 << 40) | (id * 7919) END AS packed, CASE WHEN id % 3 > 0 THEN id % 1000 END AS snapshot, CASE WHEN id % 3 > 0 THEN id * 7919 END AS inode, (id << 32) | 5 AS device, id AS major, CAST(5 AS BIGINT) AS minor FROM blocks", "blocks")
+@query(", b AS (SELECT *, id % 3 > 0 AND id % 1000 > 0 AS fits FROM blocks) SELECT id, sha256(codec) AS block_id, CASE WHEN fits THEN (id % 1000 << 40) | (id * 7919) END AS packed, CASE WHEN fits THEN id % 1000 END AS snapshot, CASE WHEN fits THEN id * 7919 END AS inode, (id << 32) | 5 AS device, id AS major, CAST(5 AS BIGINT) AS minor FROM b", "blocks")
 def identity_functions(spark, d):
     """Block ids, packed inodes and devices, there and back (2.9.2, 2.9.5, 2.9.6, 2.9.7)."""
     rows = view(spark, d, "blocks").select("id", scalars.block_id(F.col("codec")).alias("block_id"), scalars.pack_inode(F.when(F.col("id") % 3 > 0, F.col("id") % 1000).otherwise(-1), F.col("id") * 7919).alias("packed"), scalars.make_device(F.col("id"), F.lit(5)).alias("device"))

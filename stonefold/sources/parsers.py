@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from stonefold.operators.base import sql
 
-PLAN = r"^1\.\.(\d+)\s*$"
-RESULT = r"^(ok|not ok) (\d+)(?: # (TODO|skip)\b)?(.*)$"
+#: The grammar of test output.
+PLAN = r"^1\.\.(\d+)"
+RESULT = r"^(ok|not ok)\s+(\d+)(?:\s*#\s*(TODO|skip))?\s*-?\s*(.*)$"
 
 
 def lines(texts: DataFrame) -> DataFrame:
