@@ -59,10 +59,15 @@ def cross_pool_savings(rows: DataFrame) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, order: str) -> DataFrame:
-    """Bytes charged to the slot that brings an object first in the total order given."""
+    """Bytes charged to the slot that brings an object first in the total order given.
+
+    Aggregates only, which combine before the shuffle: an object that is
+    everywhere is one row a task.
+    """
     return sql(
-        f"""SELECT slot, count(*) AS n_objects, sum(size) AS raw_bytes, count_if(nth = 1) AS n_new, coalesce(sum(size) FILTER (WHERE nth = 1), 0) AS new_bytes
-            FROM (SELECT slot, size, row_number() OVER (PARTITION BY id ORDER BY {order}) AS nth FROM {{r}}) GROUP BY slot""",
+        f"""SELECT a.slot, a.n_objects, a.raw_bytes, coalesce(b.n_new, 0) AS n_new, coalesce(b.new_bytes, 0) AS new_bytes
+            FROM (SELECT slot, count(*) AS n_objects, sum(size) AS raw_bytes FROM {{r}} GROUP BY slot) a
+            LEFT JOIN (SELECT slot, count(*) AS n_new, sum(size) AS new_bytes FROM (SELECT id, min_by(slot, struct({order})) AS slot, max(size) AS size FROM {{r}} GROUP BY id) GROUP BY slot) b ON a.slot = b.slot""",
         r=rows,
     )
 
@@ -104,9 +109,9 @@ def fixed_chunks(files: DataFrame, chars: int) -> DataFrame:
 def put(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Insert if absent, by id: what is new, what was there already, and the bytes a second copy would have cost."""
     return sql(
-        """SELECT count(*) AS puts, count_if(nth = 1 AND s.id IS NULL) AS new_blocks, count_if(nth > 1 OR s.id IS NOT NULL) AS dedup_hits,
-                  coalesce(sum(size) FILTER (WHERE nth > 1 OR s.id IS NOT NULL), 0) AS dedup_bytes
-           FROM (SELECT id, size, row_number() OVER (PARTITION BY id ORDER BY size) AS nth FROM {i}) i LEFT JOIN (SELECT DISTINCT id FROM {s}) s ON i.id = s.id""",
+        """SELECT coalesce(sum(n), 0) AS puts, count_if(s.id IS NULL) AS new_blocks, coalesce(sum(n), 0) - count_if(s.id IS NULL) AS dedup_hits,
+                  coalesce(sum(n * size), 0) - coalesce(sum(size) FILTER (WHERE s.id IS NULL), 0) AS dedup_bytes
+           FROM (SELECT id, max(size) AS size, count(*) AS n FROM {i} GROUP BY id) i LEFT JOIN (SELECT DISTINCT id FROM {s}) s ON i.id = s.id""",
         i=incoming,
         s=stored,
     )

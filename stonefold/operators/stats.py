@@ -110,7 +110,8 @@ def cpu_deltas(before: DataFrame, after: DataFrame, seconds: float, hz: float) -
 
 def foreign_cpu(cpu: DataFrame, own: DataFrame, top: int = 3) -> DataFrame:
     """The `top` processes by CPU that are not in `own(pid)`, with the total of all such."""
-    return sql(f"SELECT pid, cpu, sum(cpu) OVER () AS foreign_total FROM {{c}} LEFT ANTI JOIN {{o}} USING (pid) ORDER BY cpu DESC, pid LIMIT {top}", c=cpu, o=own)
+    foreign = cpu.join(own.select("pid"), "pid", "left_anti")
+    return sql(f"SELECT pid, cpu, (SELECT sum(cpu) FROM {{f}}) AS foreign_total FROM {{f}} ORDER BY cpu DESC, pid LIMIT {top}", f=foreign)
 
 
 def paired_with_preceding(rows: DataFrame, key: str, order: str, base: str) -> DataFrame:
