@@ -88,7 +88,7 @@ def fixed_chunk_dedup(spark, d):
 def cdc_chunk_dedup(spark, d):
     """Deduplication of content-defined chunks, sizes scaled to short files (2.1.2, 2.1.28, 2.9.1, 2.9.4)."""
     chunks = chunking.chunk(view(spark, d, "files").select("ino", "slot", "content"), "content", 256, 1024, 4096)
-    return sql("SELECT count(*) AS chunks, count(DISTINCT id) AS unique_chunks, sum(size) AS raw_bytes, sum(size) FILTER (WHERE nth = 1) AS unique_bytes, sum(stored) FILTER (WHERE nth = 1) AS stored_bytes FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ino, ord) AS nth FROM {c})", c=chunks)
+    return sql("SELECT sum(n) AS chunks, count(*) AS unique_chunks, sum(n * size) AS raw_bytes, sum(size) AS unique_bytes, sum(stored) AS stored_bytes FROM (SELECT id, count(*) AS n, max(size) AS size, max(stored) AS stored FROM {c} GROUP BY id)", c=chunks)
 
 
 @query(OBJECTS + ", s AS (SELECT DISTINCT id FROM o WHERE pool < 10), i AS (SELECT id, size, row_number() OVER (PARTITION BY id ORDER BY size) AS nth FROM o WHERE pool >= 10) SELECT count(*) AS puts, count(*) FILTER (nth = 1 AND s.id IS NULL) AS new_blocks, count(*) FILTER (nth > 1 OR s.id IS NOT NULL) AS dedup_hits, CAST(coalesce(sum(size) FILTER (nth > 1 OR s.id IS NOT NULL), 0) AS BIGINT) AS dedup_bytes FROM i LEFT JOIN s ON i.id = s.id", "files")
