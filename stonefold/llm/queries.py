@@ -10,7 +10,7 @@ from stonefold.llm.quality_rules import OP5_SQL, op5_quality_rules
 from stonefold.llm.sentencepiece_codec import op1_sentencepiece
 from stonefold.llm.simhash import op10_simhash
 from stonefold.llm.toxicity import op7_toxicity
-from stonefold.llm.url_filter import op9_url_filter
+from stonefold.llm.url_filter import OP9_SQL, op9_url_filter
 from stonefold.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
@@ -32,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op9_url_filter": OP9_SQL,
 }

@@ -123,3 +123,37 @@ def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     from stonefold.llm.common import table
 
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+def _op9_sql() -> str:
+    """The whole method as DuckDB SQL, a pair of expressions for each level of the tree."""
+    segment = r"CASE WHEN regexp_full_match(s, '[0-9]+') THEN '{n}' WHEN regexp_full_match(s, '[0-9]+\.[A-Za-z]+') THEN '{n}' || regexp_extract(s, '\.[A-Za-z]+$') WHEN regexp_full_match(s, '[0-9a-fA-F-]{8,}') THEN '{x}' WHEN regexp_matches(s, '[0-9]') THEN '{d}' ELSE s END"
+    rule = verdict = "NULL"
+    for what, text in sorted(RULES, key=lambda r: (len(r[1]), r[0] == "block")):
+        host, slash, path = text.partition("/")
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + path}')"
+        rule, verdict = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{what}' ELSE {verdict} END"
+    levels = []
+    for d in range(MAX_DEPTH + 1):
+        levels.append(f"w{d} AS (SELECT host, segs[1:{d}] AS above FROM l{d} WHERE len(segs) > {d} GROUP BY ALL HAVING count(DISTINCT segs[{d + 1}]) > {MAX_CHILDREN})")
+        levels.append(f"l{d + 1} AS (SELECT l.host, lexical, bad, labelled, CASE WHEN w.host IS NOT NULL THEN list_concat(list_concat(segs[1:{d}], ['*']), segs[{d + 2}:]) ELSE segs END AS segs FROM l{d} l LEFT JOIN w{d} w ON l.host = w.host AND len(segs) > {d} AND segs[1:{d}] = above)")
+    z = "(share - b0 / n0) / nullif(sqrt((b0 + bad) / (n0 + labelled) * (1 - (b0 + bad) / (n0 + labelled)) * (1 / n0 + 1 / labelled)), 0)"
+    return rf"""
+WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, {rule} AS rule, {verdict} AS rule_verdict, string_split(substr(path, 2), '/') AS parts FROM p),
+x AS (SELECT page_id, host, path, rule, rule_verdict, CASE WHEN path = '' THEN [] ELSE list_concat(list_transform(parts[1:{MAX_DEPTH}], lambda s: {segment}), CASE WHEN len(parts) > {MAX_DEPTH} THEN ['{{tail}}'] ELSE [] END) END AS lexical FROM r),
+l0 AS (SELECT host, lexical, count(*) FILTER (rule_verdict = 'block') AS bad, count(rule_verdict) AS labelled, lexical AS segs FROM x GROUP BY host, lexical),
+{", ".join(levels)},
+k AS (SELECT host, segs, sum(bad) AS bad, sum(labelled) AS labelled FROM l{MAX_DEPTH + 1} GROUP BY host, segs),
+f AS (SELECT *, bad / labelled AS share, segs[1:len(segs) - 1] AS above, len(segs) AS depth FROM k WHERE labelled >= {MIN_LABELLED}),
+g AS (SELECT *, lag(bad) OVER s AS b0, lag(labelled) OVER s AS n0 FROM f WINDOW s AS (PARTITION BY host, depth, above ORDER BY share, segs)),
+b AS (SELECT *, sum(CASE WHEN coalesce({z}, 0) >= {SIGNIFICANT_Z} THEN 1 ELSE 0 END) OVER (PARTITION BY host, depth, above ORDER BY share, segs ROWS UNBOUNDED PRECEDING) AS branch FROM g),
+m AS (SELECT host, segs, sum(bad) OVER q AS bad_m, sum(labelled) OVER q AS labelled_m FROM b WINDOW q AS (PARTITION BY host, depth, above, branch)),
+j AS (SELECT k.host, k.segs, CASE WHEN (coalesce(bad_m, bad) + 1) / (coalesce(labelled_m, labelled) + 2) >= {MIN_PURITY} THEN 'block' ELSE 'allow' END AS own FROM k LEFT JOIN m ON k.host = m.host AND k.segs = m.segs)
+SELECT page_id, x.host, path, rule, coalesce(rule_verdict, own) AS verdict, '/' || array_to_string(l.segs, '/') AS template
+FROM x JOIN l{MAX_DEPTH + 1} l ON x.host = l.host AND x.lexical = l.lexical JOIN j ON l.host = j.host AND l.segs = j.segs
+"""
+
+
+OP9_SQL = _op9_sql()
