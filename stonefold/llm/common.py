@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: A scan of fewer bytes in fewer files than cores is dealt out anew before costly work.
+SMALL_SCAN_BYTES = 64 << 20
 #: Bytes of output after which a Python operator hands a batch on.
 FLUSH_BYTES = 8 << 20
 
@@ -36,6 +38,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores if it reads a few small files, which may be a single row group and so a single task.
+
+    A larger scan is left as it is: its own partitions suffice, and its rows
+    are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_SCAN_BYTES
+    return df.repartition(cores) if small and 0 < len(df.inputFiles()) < cores else df
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

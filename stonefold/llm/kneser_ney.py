@@ -36,12 +36,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stonefold.llm.common import checkpoint, texts
+from stonefold.llm.common import checkpoint, spread, texts
 
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
 #: N-grams that a block holds before it counts them.
-CHUNK_NGRAMS = 2_000_000
+CHUNK_NGRAMS = 1_000_000
 PRIOR_BYTES = 64
 QUANTILE = 0.99
 SLACK = 1.08
@@ -144,7 +144,7 @@ def block_counts(packed: DataFrame, trusted: DataFrame) -> DataFrame:
     return packed.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(run, "block int, counts binary")
 
 
-def spread(counts: DataFrame) -> DataFrame:
+def counted(counts: DataFrame) -> DataFrame:
     """(block, g, n) of `block_counts`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,11 +219,12 @@ def by_language(rows: DataFrame, value: Column) -> DataFrame:
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, n_bytes, score (bits a byte, shrunk), perplexity (a byte), threshold and rejected of every row."""
+    docs = spread(docs)
     n_blocks = max(1, docs.rdd.getNumPartitions())
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     packed = blocks(docs, n_blocks, id_col, text_col, lang_col)
     dealt = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"), "doc_id")
-    requests = spread(checkpoint(block_counts(packed, dealt)))
+    requests = counted(checkpoint(block_counts(packed, dealt)))
     counts = checkpoint(requests.groupBy("g").agg(F.sum("n").alias("c")))
     known = requests.select("block", "g").join(probabilities(counts), "g").select("block", "g", (-F.log2("p")).cast("float").alias("bits"))
     raw = score_blocks(packed, known).join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left")

@@ -28,6 +28,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stonefold.llm.common import spread
+
 SHINGLE_WORDS = 5
 MIN_CONTAINMENT = 0.8
 BANDS, ROWS = 24, 2
@@ -82,7 +84,7 @@ def scan(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLATES, id_c
     if sum(r["n"] for r in known) > MAX_TEMPLATE_SHINGLES:
         raise ValueError(f"more than {MAX_TEMPLATE_SHINGLES} template shingles")
     hashes, sizes = sorted({h for r in known for h in r["own"]}), sorted({r["n"] for r in known})
-    rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).select("doc_id", shingles("w").alias("s"))
+    rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).select("doc_id", shingles("w").alias("s"))
     rows = rows.select("doc_id", "s", F.filter(F.transform("s", lambda h, i: F.when(h.isin(hashes), i)), lambda p: p.isNotNull()).alias("hits"))
 
     def windows(n: int) -> str:

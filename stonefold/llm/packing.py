@@ -37,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stonefold.llm.common import checkpoint, texts
+from stonefold.llm.common import checkpoint, spread, texts
 
 CAPACITY = 4096
 END_ID = 1
-#: Most remembered words in a Python worker (some 200 bytes each).
-MEMO_WORDS = 1_000_000
+#: Words that a Python worker remembers in a generation, of which there are two (some 200 bytes each).
+MEMO_WORDS = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank_in_part long"
 
@@ -63,27 +63,38 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.apart = re.compile(rb"(?<=[a-z])(?=[.,!?;:\"#%&$*()])").sub
+        #: words of this generation and of the last; a word that is met again is taken over
         self.memo: dict[bytes, bytes] = {}
+        self.last: dict[bytes, bytes] = {}
 
     def encode_all(self, docs: list[str]) -> Iterator[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        get, rows, fresh = self.memo.get, [], set()
+            self.memo, self.last = {}, self.memo
+        memo, last, rows, fresh = self.memo, self.last, [], set()
+        get = memo.get
         for text in docs:
             words = self.apart(b" ", text.encode().lower()).split()
             found = list(map(get, words))
-            missing = [(i, words[i]) for i, x in enumerate(found) if x is None] if None in found else []
-            fresh.update([w for _, w in missing])
+            missing = []
+            if None in found:
+                for i, x in enumerate(found):
+                    if x is None:
+                        w = words[i]
+                        if (known := last.get(w)) is not None:
+                            memo[w] = found[i] = known
+                        else:
+                            missing.append((i, w))
+                            fresh.add(w)
             rows.append((found, missing))
         order = list(fresh)
         for at in range(0, len(order), 20_000):
             some = order[at : at + 20_000]
             encoded = self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.memo.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in encoded], strict=True))
+            memo.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in encoded], strict=True))
         for found, missing in rows:
             for i, w in missing:
-                found[i] = self.memo[w]
+                found[i] = memo[w]
             yield b"".join(found)
 
 
@@ -121,7 +132,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank_in_part"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PIECES)
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text"))).mapInArrow(run, PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:

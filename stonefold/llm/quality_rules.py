@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonefold.llm.common import WORD_BREAK, checkpoint
+from stonefold.llm.common import WORD_BREAK, checkpoint, spread
 
 WINDOW_WORDS = 3
 MIN_WORDS = 50
@@ -41,7 +41,7 @@ RULES = ("few_words", "repetitive", "dup_lines", "symbols", "word_length")
 
 def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, host and the counts that the rules look at, of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(text_col, F.lit("")).alias("t"))
+    rows = spread(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(text_col, F.lit("")).alias("t"))
     rows = rows.select(
         "doc_id",
         "host",

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from stonefold.llm.common import FLUSH_BYTES, texts
+from stonefold.llm.common import FLUSH_BYTES, spread, texts
 
 #: Most remembered parts in a Python worker (some 200 bytes each).
 MEMO_PARTS = 900_000
@@ -212,7 +212,7 @@ def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", ids_co
     One pass over the rows, no shuffle; a worker holds one batch and a bounded
     memory of parts.
     """
-    df = df.drop(*({ids_col, decoded_col} - {text_col}))
+    df = spread(df).drop(*({ids_col, decoded_col} - {text_col}))
     at = df.columns.index(text_col)
     schema = StructType([*df.schema.fields, StructField(ids_col, BinaryType()), StructField(decoded_col, StringType())])
 

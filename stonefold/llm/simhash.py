@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonefold.llm.common import checkpoint, texts
+from stonefold.llm.common import checkpoint, spread, texts
 from stonefold.llm.components import connected_components
 
 RADIUS = 3
@@ -43,7 +43,7 @@ SEED = 42
 #: Fingerprints that random ones should put in a shard, at most.
 SHARD_SIZE = 16
 #: Pairs that a search looks at together.
-PAIRS = 200_000
+PAIRS = 50_000
 
 
 def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             found = np.array([fingerprint(t, words) for t in texts(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def shard_masks(n: int, radius: int = RADIUS) -> list[int]:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stonefold.llm.common import checkpoint, texts
+from stonefold.llm.common import checkpoint, spread, texts
 
 MAX_EXAMPLES = 20_000
 #: Terms that are looked at closely, the most significant ones of all.
@@ -129,7 +129,7 @@ def candidate_terms(some: DataFrame) -> list[str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["term", "pos", "neg"]
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for text, toxic in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for term in {t for w in set(words_of(text.lower())) for t in terms_of(w)}:
@@ -253,7 +253,7 @@ class Index:
         return [(-s, e) for s, e in best]
 
     def stands_for(self, word: str) -> tuple[int, ...]:
-        if len(self.memo) > 500_000:
+        if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[word] = found = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
         return found
@@ -312,7 +312,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
             found = [own.score(t) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, score double, evidence array<long>")
 
 
 def keep_non_toxic(docs: DataFrame, index: Index, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -324,7 +324,7 @@ def keep_non_toxic(docs: DataFrame, index: Index, threshold: float = 0.5, text_c
         for batch in batches:
             yield batch.filter(pa.array([own.score(t)[0] < threshold for t in texts(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
