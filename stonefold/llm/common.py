@@ -49,6 +49,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if small and 0 < len(df.inputFiles()) < cores else df
 
 
+#: How to empty what an operator remembers in a Python worker between tasks.
+_MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def remember(name: str, clear: Callable[[], None]) -> None:
+    _MEMORIES[name] = clear
+
+
+def claim(name: str) -> None:
+    """Called by each operator's tasks: a worker that other operators used before gives up what they remembered."""
+    for other, clear in _MEMORIES.items():
+        if other != name:
+            clear()
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

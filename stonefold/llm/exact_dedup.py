@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from stonefold.llm.common import claim
+
 #: Bytes of rows that a task holds before it partitions them to spill files.
 BUDGET_BYTES = 96 << 20
 FANOUT_BITS = 4
@@ -178,9 +180,11 @@ def exact_dedup(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text"
                     fields = [*batch.schema, pa.field("__hash", pa.int64()), pa.field("__copies", pa.int64())]
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h), pa.array(np.ones(len(h), np.int64))], schema=pa.schema(fields))
 
+        claim("exact_dedup")
         yield from grace(hashed(), key_at, text_at)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("exact_dedup")
         yield from grace((b for b in batches if b.num_rows), key_at, text_at)
 
     kept = docs.mapInArrow(local, inner).repartition("__hash").mapInArrow(final, inner)

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stonefold.llm.common import checkpoint, spread, texts
+from stonefold.llm.common import checkpoint, claim, spread, texts
 
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
@@ -71,6 +71,7 @@ def blocks(docs: DataFrame, n_blocks: int, id_col: str, text_col: str, lang_col:
     rows = docs.select(F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("kneser_ney")
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             block = batch.column(0).to_numpy(zero_copy_only=False)
@@ -121,6 +122,7 @@ def block_counts(packed: DataFrame, trusted: DataFrame) -> DataFrame:
     """(block, counts): distinct n-grams of each block, compressed, with their count in its trusted documents."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        claim("kneser_ney")
         known = set(right.column("doc_id").to_pylist())
         counters = Counter(), Counter()
         for batch in unpack(left.column("payload")):
@@ -188,6 +190,7 @@ def score_blocks(packed: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, lang, n_bytes, bits) of every document, from its block's `known(block, g, bits)`."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        claim("kneser_ney")
         g, bits = (right.column(c).to_numpy() for c in ("g", "bits"))
         order = np.argsort(g)
         g, bits = g[order], bits[order]

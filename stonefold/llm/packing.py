@@ -37,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stonefold.llm.common import checkpoint, spread, texts
+from stonefold.llm.common import checkpoint, claim, remember, spread, texts
 
 CAPACITY = 4096
 END_ID = 1
 #: Words that a Python worker remembers in a generation, of which there are two (some 200 bytes each).
-MEMO_WORDS = 250_000
+MEMO_WORDS = 450_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank_in_part long"
 
@@ -99,6 +99,7 @@ class WordTokenizer:
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
+remember("packing", _TOKENIZERS.clear)
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -115,6 +116,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     """A row for each piece of each document, with its rank among equal lengths of its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         own, part = tokenizer(tokenizer_path), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         last, full = np.array([end_id], "<u4").tobytes(), 4 * capacity

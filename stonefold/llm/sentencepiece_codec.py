@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from stonefold.llm.common import FLUSH_BYTES, spread, texts
+from stonefold.llm.common import FLUSH_BYTES, claim, remember, spread, texts
 
 #: Most remembered parts in a Python worker (some 200 bytes each).
 MEMO_PARTS = 900_000
@@ -197,6 +197,7 @@ def lenient(raw: bytes) -> str:
 
 
 _CODECS: dict[str, Codec] = {}
+remember("sentencepiece", _CODECS.clear)
 
 
 def codec(model_path: str) -> Codec:
@@ -217,6 +218,7 @@ def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", ids_co
     schema = StructType([*df.schema.fields, StructField(ids_col, BinaryType()), StructField(decoded_col, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sentencepiece")
         own = codec(model_path)
         out_schema = None
         for batch in batches:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonefold.llm.common import checkpoint, spread, texts
+from stonefold.llm.common import checkpoint, claim, spread, texts
 from stonefold.llm.components import connected_components
 
 RADIUS = 3
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id and fingerprint (64 bits as a long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             found = np.array([fingerprint(t, words) for t in texts(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
@@ -147,6 +148,7 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     dealt = nodes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long").bitwiseAND(F.col("fp")) for m in masks])).alias("choice", "bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches if b.num_rows]
         if not got:
             return

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stonefold.llm.common import checkpoint, spread, texts
+from stonefold.llm.common import checkpoint, claim, spread, texts
 
 MAX_EXAMPLES = 20_000
 #: Terms that are looked at closely, the most significant ones of all.
@@ -307,6 +307,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         own = sent.value
         for batch in batches:
             found = [own.score(t) for t in texts(batch.column(1))]
@@ -320,6 +321,7 @@ def keep_non_toxic(docs: DataFrame, index: Index, threshold: float = 0.5, text_c
     sent, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         own = sent.value
         for batch in batches:
             yield batch.filter(pa.array([own.score(t)[0] < threshold for t in texts(batch.column(at))], pa.bool_()))
