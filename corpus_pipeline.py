@@ -12,7 +12,7 @@ import tempfile
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stonefold.llm import exact_dedup, kneser_ney, packing, simhash, toxicity
+from stonefold.llm import exact_dedup, kneser_ney, near_copies, packing, toxicity
 from stonefold.llm.common import table
 
 
@@ -32,8 +32,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by SimHash."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group linked by a similarity of 0.8 or more of 5-word shingles; SimHash is a candidate search."""
+    return near_copies.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
