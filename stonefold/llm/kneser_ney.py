@@ -16,8 +16,11 @@ n-grams and scores its documents. Both passes read one shuffle of the blocks.
 A document's score is bits a byte, shrunk toward its language's trusted mean by
 `PRIOR_BYTES` so that very short texts are not judged by a few bytes. It is
 rejected beyond its language's threshold: a high quantile of the trusted
-documents of that language, times a slack. Languages with under `MIN_TRUSTED`
-trusted documents take the threshold of all of them.
+documents of that language, times a slack. The model hardly knows a language
+with under `MIN_TRUSTED` trusted documents, and scores those it was made from
+too low, so there the threshold is shrunk, the more the fewer they are, toward
+`UNKNOWN_BITS`, the cost of a byte without any model; in a language without
+trusted documents nothing is rejected.
 
 Defined results: a null text is the empty text, which is never rejected; a null
 language is a language of its own; without trusted documents nothing is
@@ -46,6 +49,7 @@ PRIOR_BYTES = 64
 QUANTILE = 0.99
 SLACK = 1.08
 MIN_TRUSTED = 30
+UNKNOWN_BITS = 8.0
 
 
 def ngrams(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -237,8 +241,11 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     means = checkpoint(by_language(raw, F.sum(of_trusted("bits")) / F.sum(of_trusted("n_bytes"))).withColumnRenamed("value", "mean"))
     scored = raw.alias("r").join(means.alias("s"), F.expr("r.lang <=> s.lang")).select("r.*", ((F.col("bits") + F.col("mean") * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)).alias("score"))
     scored = checkpoint(scored)
-    # a sketch of bounded size
-    limits = checkpoint(by_language(scored, F.percentile_approx(of_trusted("score"), QUANTILE, 10_000)).select("lang", (F.col("value") * SLACK).alias("threshold")))
+    # a sketch of bounded size; null, and so no threshold, without trusted rows
+    limits = scored.groupBy("lang").agg((F.percentile_approx(of_trusted("score"), QUANTILE, 10_000) * SLACK).alias("own"), F.count_if("trusted").alias("n"))
+    weight = F.least(F.col("n") / MIN_TRUSTED, F.lit(1.0))
+    widened = F.greatest("own", F.col("own") * weight + UNKNOWN_BITS * (1 - weight))
+    limits = checkpoint(limits.select("lang", widened.alias("threshold")))
     out = scored.alias("r").join(limits.alias("t"), F.expr("r.lang <=> t.lang"))
     rejected = F.coalesce(F.col("score") > F.col("threshold"), F.lit(False)) & (F.col("n_bytes") > 0)
     return out.select("doc_id", "r.lang", "n_bytes", "score", F.pow(F.lit(2.0), "score").alias("perplexity"), "threshold", rejected.alias("rejected"))

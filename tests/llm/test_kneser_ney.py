@@ -80,6 +80,16 @@ def test_ends(spark):
     assert kn.classify(df.limit(0), none).collect() == []
 
 
+@pytest.mark.parametrize("n_trusted", [0, 5])
+def test_a_language_with_little_trusted_text_keeps_its_clean_documents(spark, n_trusted):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choices(["the", "and", "thing", "hand", "with"], k=50)), "en") for i in range(60)]
+    docs += [(100 + i, " ".join("".join(rng.choices("bcdfgjklmpquvxyz", k=6)) for _ in range(40)), "xx") for i in range(20)]
+    trusted = [(i,) for i in range(60)] + [(100 + i,) for i in range(n_trusted)]
+    rows = kn.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(trusted, "doc_id long")).collect()
+    assert len(rows) == 80 and (n_trusted == 0 or all(r.score < 8 for r in rows)) and not any(r.rejected for r in rows)
+
+
 def test_probabilities_sum_to_one(spark):
     text = "abracadabra abra cadabra"
     p = brute_model([text])
