@@ -10,7 +10,8 @@ size, and the share of the template's shingles that the window holds decides.
 A window that contains at least 0.8 of a template has a Jaccard similarity of
 0.8 n / (1.25 n + 0.2 n) = 0.55 or more, so one of 24 bands of 2 rows agrees
 with probability 1 - (1 - 0.55^2)^24 > 0.9998; an exact and aligned copy always
-collides. The template library is a parameter of at most
+collides. A notice with words inserted may hold 0.8 in all but in no window, and
+is then not found. The template library is a parameter of at most
 `MAX_TEMPLATE_SHINGLES` shingles in all, the proven bound of what is broadcast.
 
 Defined results: a null text is the empty text; texts of fewer words than a
