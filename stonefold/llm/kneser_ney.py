@@ -5,7 +5,7 @@ without unknown symbols, an n-gram is exactly one long, and by construction a
 context has at most 256 continuations and a suffix 256 extensions, so no join
 key of the model can be hot.
 
-Documents are dealt into blocks by doc_id and travel once, compressed. A block
+Documents are dealt into blocks of `BLOCK_BYTES` by doc_id and travel once, compressed. A block
 counts its own distinct n-grams (those of trusted documents with their counts);
 the counts are summed by n-gram over all blocks, a table that grows with the
 corpus and is never collected. Continuation counts, context totals, discounts
@@ -24,8 +24,10 @@ trusted documents nothing is rejected.
 
 Defined results: a null text is the empty text, which is never rejected; a null
 language is a language of its own; without trusted documents nothing is
-rejected and scores are null; a row without doc_id is never trusted; repeated
-rows are scored each for itself; an empty table gives an empty table; of the
+rejected and scores are null; a row without doc_id is never trusted, and
+`keep_quality` keeps it; repeated rows are scored each for itself, in one block;
+scores that tie with the threshold are not rejected; very long texts are scored
+whole, in the block that holds them; an empty table gives an empty table; of the
 columns only those named are read, so other columns cannot clash.
 """
 
@@ -36,17 +38,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stonefold.llm.common import checkpoint, claim, spread, texts
 
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
+#: Bytes of text in a block, on average: what a task holds does not grow with the input.
+BLOCK_BYTES = 8 << 20
 #: N-grams that a block holds before it counts them.
 CHUNK_NGRAMS = 1_000_000
 PRIOR_BYTES = 64
 QUANTILE = 0.99
+#: Bits a byte; scores are rounded up to it where they are ranked.
+RESOLUTION = 0.001
 SLACK = 1.08
 MIN_TRUSTED = 30
 UNKNOWN_BITS = 8.0
@@ -224,10 +230,23 @@ def by_language(rows: DataFrame, value: Column) -> DataFrame:
     return own.select("lang", F.when(F.col("n") >= MIN_TRUSTED, F.col("own")).otherwise(F.lit(overall).cast("double")).alias("value"))
 
 
+def quantiles(rows: DataFrame, q: float) -> DataFrame:
+    """lang, value and n: the exact nearest-rank quantile of `score`, rounded up to `RESOLUTION`, and the rows of each language.
+
+    Ranks run over counts of rounded scores, some thousands a language however
+    many rows there are, so the result does not hang on partitions.
+    """
+    bins = rows.groupBy("lang", F.ceil(F.col("score") / RESOLUTION).alias("bin")).agg(F.count("*").alias("here"))
+    of_lang = Window.partitionBy("lang")
+    ranked = bins.select("lang", "bin", F.sum("here").over(of_lang.orderBy("bin")).alias("upto"), F.sum("here").over(of_lang).alias("n"))
+    return ranked.where(F.col("upto") >= F.ceil(F.col("n") * q)).groupBy("lang").agg((F.min("bin") * RESOLUTION).alias("value"), F.max("n").alias("n"))
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, n_bytes, score (bits a byte, shrunk), perplexity (a byte), threshold and rejected of every row."""
     docs = spread(docs)
-    n_blocks = max(1, docs.rdd.getNumPartitions())
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n_blocks = int(-(-size // BLOCK_BYTES)) or 1
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     packed = blocks(docs, n_blocks, id_col, text_col, lang_col)
     dealt = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"), "doc_id")
@@ -241,12 +260,12 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     means = checkpoint(by_language(raw, F.sum(of_trusted("bits")) / F.sum(of_trusted("n_bytes"))).withColumnRenamed("value", "mean"))
     scored = raw.alias("r").join(means.alias("s"), F.expr("r.lang <=> s.lang")).select("r.*", ((F.col("bits") + F.col("mean") * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)).alias("score"))
     scored = checkpoint(scored)
-    # a sketch of bounded size; null, and so no threshold, without trusted rows
-    limits = scored.groupBy("lang").agg((F.percentile_approx(of_trusted("score"), QUANTILE, 10_000) * SLACK).alias("own"), F.count_if("trusted").alias("n"))
+    limits = quantiles(scored.where("trusted"), QUANTILE).select("lang", (F.col("value") * SLACK).alias("own"), "n")
     weight = F.least(F.col("n") / MIN_TRUSTED, F.lit(1.0))
     widened = F.greatest("own", F.col("own") * weight + UNKNOWN_BITS * (1 - weight))
-    limits = checkpoint(limits.select("lang", widened.alias("threshold")))
-    out = scored.alias("r").join(limits.alias("t"), F.expr("r.lang <=> t.lang"))
+    # a row for each language, with a null threshold where nothing is trusted
+    limits = scored.select(F.col("lang").alias("language")).distinct().join(limits, F.expr("language <=> lang"), "left").select(F.col("language").alias("lang"), widened.alias("threshold"))
+    out = scored.alias("r").join(checkpoint(limits).alias("t"), F.expr("r.lang <=> t.lang"))
     rejected = F.coalesce(F.col("score") > F.col("threshold"), F.lit(False)) & (F.col("n_bytes") > 0)
     return out.select("doc_id", "r.lang", "n_bytes", "score", F.pow(F.lit(2.0), "score").alias("perplexity"), "threshold", rejected.alias("rejected"))
 

@@ -3,20 +3,26 @@
 Documents are linked if the sets of their 5-word shingles have a similarity of
 0.8 or more; components of links keep their least doc_id. Candidates are the
 groups of `simhash.near_duplicates` (radius 3, too tight alone: most pairs of
-similarity 0.8 lie at 2 to 11 bits) and all that share one of 30 MinHash bands
-of 5 rows. A pair of similarity 0.8 shares none with probability
-(1 - 0.8^5)^30 < 0.00001. Each candidate pair is verified by its shingle sets
-(as 64-bit hashes) before it counts.
-
-Bands of the same members count once. The members of a band meet in one task,
-which finds the similarity of each two of them from an index of their shingles,
-in bounded memory, and returns one link a member, so a group of n near copies
-never makes n * n rows.
+similarity 0.8 lie at 2 to 11 bits) and all that share one of 20 MinHash bands
+of 4 rows. A pair of similarity 0.8 shares none with probability
+(1 - 0.8^4)^20 < 0.00003. Each pair that links is verified by its shingle sets
+(as 64-bit hashes).
+
+Bands of the same members count once. No group meets in one task: in each round
+a band names pivots, one at first and then up to 16 times as many, each from
+another component and none from the band's largest. A pivot and each member of
+another component make a pair, a row of a join that adaptive execution can
+split; verified pairs join up components. A band is done when one component is
+left in it, or when all its members outside of the largest component have been
+pivots, so that every two members of different components were compared. A group
+of n near copies makes n pairs, not n * n.
 
 Defined results: a null text is the empty text; texts without words are like
 each other; a text with fewer words than a shingle is one shingle; rows without
-doc_id stay and link nothing; rows of one doc_id stay or go together; an empty
-table gives an empty table.
+doc_id stay and link nothing; rows of one doc_id stay or go together, and are
+linked with what any of them is like; very long texts are compared whole; an
+empty table gives an empty table. Only doc_id and text are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -32,14 +38,13 @@ from pyspark.sql import functions as F
 from stonefold.llm import simhash
 from stonefold.llm.common import checkpoint, claim, spread, texts
 from stonefold.llm.components import connected_components
-from stonefold.llm.simhash import join_up
 
 SHINGLE_WORDS = 5
 MIN_JACCARD = 0.8
-BANDS, ROWS = 30, 5
+BANDS, ROWS = 20, 4
 SEED = 42
-#: Places of the index that are looked at together.
-PAIRS = 1_000_000
+#: Pivots of a band in the first round, by how much they grow from round to round, and at most.
+PIVOTS, GROWTH, MOST_PIVOTS = 1, 16, 4096
 
 
 def shingles(text: str) -> np.ndarray:
@@ -67,79 +72,83 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id and band, a row for each band, of `docs(doc_id, text)`."""
+def signatures(rows: DataFrame) -> DataFrame:
+    """doc_id, v and band, a row for each band, of `rows(doc_id, v, text)`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near_copies")
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            found = np.concatenate([np.zeros(0, np.int64), *(bands(shingles(t)) for t in texts(batch.column(2)))])
+            keys = [pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), BANDS), pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(found)], names=["doc_id", "v", "band"])
+
+    return spread(rows).mapInArrow(run, "doc_id long, v long, band long")
+
+
+def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, v and set of the rows whose (doc_id, v) are `wanted`, each once."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            found = np.concatenate([np.zeros(0, np.int64), *(bands(shingles(t)) for t in texts(batch.column(1)))])
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found)], names=["doc_id", "band"])
-
-    return spread(docs).mapInArrow(run, "doc_id long, band long")
-
-
-def linked(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the least index linked with it, directly or through others."""
-    labels, sizes = np.arange(len(sets)), np.array([len(x) for x in sets], np.int64)
-    empty = np.flatnonzero(sizes == 0)
-    labels[empty] = empty[:1].repeat(len(empty))
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    which = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)[1]
-    members = owner[np.argsort(which, kind="stable")]
-    n = np.bincount(which)
-    start = np.cumsum(n) - n
-    ends = np.cumsum(sizes)
-    for i in range(len(sets)):
-        both = np.zeros(len(sets), np.int64)
-        step = max(1, PAIRS // len(sets))
-        for at in range(ends[i] - sizes[i], ends[i], step):
-            some = which[at : min(at + step, ends[i])]
-            m = n[some]
-            both += np.bincount(members[np.repeat(start[some] - np.cumsum(m) + m, m) + np.arange(m.sum())], minlength=len(sets))
-        near = np.flatnonzero((both > 0) & (both >= MIN_JACCARD * (sizes[i] + sizes - both)))
-        near = near[near < i]
-        labels = join_up(labels, np.full(len(near), i), near)
-    return labels
-
-
-def links(members: DataFrame) -> DataFrame:
-    """Links (a, b) that join up all similar texts of each band of `members(band, doc_id, text)`."""
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            yield batch.filter(pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near_copies")
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            found = [shingles(t).view(np.int64) for t in texts(batch.column(2))]
+            ends = np.cumsum([0, *(len(x) for x in found)])
+            sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["doc_id", "v", "set"])
 
-        def found(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-            known, labels = np.array(ids, np.int64), linked(sets)
-            moved = labels != np.arange(len(known))
-            return pa.RecordBatch.from_arrays([pa.array(known[moved]), pa.array(known[labels[moved]])], names=["a", "b"])
+    # repeated rows are reduced to one a partition before they meet
+    some = rows.mapInArrow(one, rows.schema).join(wanted, ["doc_id", "v"], "left_semi")
+    return some.dropDuplicates(["doc_id", "v"]).select("doc_id", "v", "text").mapInArrow(run, "doc_id long, v long, set array<long>")
 
-        now, ids, sets = None, [], []
-        for batch in batches:
-            for band, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
-                if band != now and ids:
-                    yield found(ids, sets)
-                    ids, sets = [], []
-                now = band
-                ids.append(doc_id)
-                sets.append(shingles(text))
-        if ids:
-            yield found(ids, sets)
 
-    return members.repartition("band").sortWithinPartitions("band", "doc_id").mapInArrow(run, "a long, b long")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), the doc_ids of the `pairs(a, av, b, bv)` that are similar."""
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("v").alias(f"{c}v"), F.col("set").alias(f"{c}set")) for c in "ab")
+    both = F.size(F.array_intersect("aset", "bset"))
+    # the pivots, few and shared by many pairs, come last: a hot one is split
+    return pairs.join(right, ["b", "bv"]).join(left, ["a", "av"]).where(both >= MIN_JACCARD * (F.size("aset") + F.size("bset") - both)).select("a", "b")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(node, root) of every doc_id that is not the least of its component."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    grouped = simhash.near_duplicates(rows).select("doc_id", F.xxhash64(F.lit("simhash"), "component_id").alias("band"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("v"), "text")
+    grouped = simhash.near_duplicates(rows, keep=("v",)).select("doc_id", "v", F.xxhash64(F.lit("simhash"), "component_id").alias("band"))
     signed = checkpoint(signatures(rows).union(grouped))
-    own = F.xxhash64("doc_id")
+    own = F.xxhash64("doc_id", "v")
     groups = signed.groupBy("band").agg(F.count("*").alias("n"), F.sum(own.cast("decimal(20,0)")).alias("sum"), F.bit_xor(own).alias("xor"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    groups = groups.where("least < most").groupBy("n", "sum", "xor").agg(F.min("band").alias("band")).select("band")
-    members = checkpoint(signed.join(groups, "band").select("band", "doc_id").distinct())
-    return connected_components(links(members.join(rows, "doc_id").select("band", "doc_id", "text")))
+    # joins by band are of plain tables, so that adaptive execution can split a hot one
+    groups = checkpoint(groups.where("least < most").groupBy("n", "sum", "xor").agg(F.min("band").alias("band")).select("band"))
+    members = checkpoint(signed.join(groups, "band").select("band", "doc_id", "v").distinct())
+    sets = checkpoint(shingle_sets(rows, members.select("doc_id", "v").distinct()))
+    spark = docs.sparkSession
+    roots = spark.createDataFrame([], "node long, root long")
+    done, tested, pivots_a_band = spark.createDataFrame([], "band long, doc_id long, v long"), spark.createDataFrame([], "a long, av long, b long, bv long"), PIVOTS
+    while True:
+        rooted = checkpoint(members.join(roots, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", "v", F.coalesce("root", "doc_id").alias("root")))
+        of_root = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
+        largest = checkpoint(of_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").select("band", "largest"))
+        left = checkpoint(rooted.join(largest, "band"))
+        choice = F.pmod(F.xxhash64("root", F.lit(pivots_a_band)), F.lit(pivots_a_band))
+        eligible = left.where("root <> largest").join(done, ["band", "doc_id", "v"], "left_anti")
+        pivots = checkpoint(eligible.groupBy("band", choice.alias("choice")).agg(F.min(F.struct("doc_id", "v", "root")).alias("p")).select("band", "p.*"))
+        if pivots.isEmpty():
+            return roots
+        done = done.union(pivots.select("band", "doc_id", "v"))
+        met = left.alias("m").join(pivots.alias("p"), F.expr("m.band = p.band AND m.root <> p.root"))
+        order = F.array_sort(F.array(F.struct(F.col("m.doc_id").alias("d"), F.col("m.v").alias("v")), F.struct(F.col("p.doc_id").alias("d"), F.col("p.v").alias("v"))))
+        pairs = met.select(order.alias("o")).select(F.expr("o[0].d").alias("a"), F.expr("o[0].v").alias("av"), F.expr("o[1].d").alias("b"), F.expr("o[1].v").alias("bv")).distinct()
+        pairs = checkpoint(pairs.join(tested, ["a", "av", "b", "bv"], "left_anti"))
+        tested = tested.union(pairs)
+        found = checkpoint(verified(pairs, sets))
+        if not found.isEmpty():
+            roots = connected_components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        members, pivots_a_band = left.select("band", "doc_id", "v"), min(pivots_a_band * GROWTH, MOST_PIVOTS)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

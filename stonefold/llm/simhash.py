@@ -42,6 +42,8 @@ SHINGLE_WORDS = 3
 SEED = 42
 #: Fingerprints that random ones should put in a shard, at most.
 SHARD_SIZE = 16
+#: Fingerprints that a task holds at once, unless one shard is larger.
+TASK_NODES = 500_000
 #: Pairs that a search looks at together.
 PAIRS = 50_000
 
@@ -62,16 +64,17 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fingerprint (64 bits as a long) of every row."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fingerprint (64 bits as a long) of every row, and the columns of longs to `keep`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
         for batch in batches:
             found = np.array([fingerprint(t, words) for t in texts(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep))
+    return spread(docs.select(F.col("doc_id").cast("long"), "text", *keep)).mapInArrow(run, schema)
 
 
 def shard_masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -147,30 +150,39 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     masks = [m - (1 << 64) if m >> 63 else m for m in shard_masks(n, radius)]
     dealt = nodes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long").bitwiseAND(F.col("fp")) for m in masks])).alias("choice", "bits"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("simhash")
-        got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches if b.num_rows]
-        if not got:
-            return
-        fp, choice, bits = (np.concatenate(c) for c in zip(*got, strict=True))
-        order = np.lexsort((fp, bits, choice))
-        fp, choice, bits = fp[order].view(np.uint64), choice[order], bits[order]
-        new = np.r_[True, (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])]
-        tree = np.cumsum(new)
+    def joined(fp: np.ndarray, tree: np.ndarray) -> Iterator[pa.RecordBatch]:
         shared = np.bincount(tree)[tree] > 1
-        fp, tree = fp[shared], tree[shared]
+        fp, tree = fp[shared].view(np.uint64), tree[shared]
         labels = BkForest(fp, tree).search(radius)
         moved = labels != np.arange(len(fp))
         for at in range(0, int(moved.sum()), 100_000):
             a, b = fp[moved][at : at + 100_000], fp[labels[moved]][at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return dealt.repartition("choice", "bits").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id reachable by links) of every row."""
-    rows = checkpoint(fingerprints(docs, words))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole shards together, up to `TASK_NODES` fingerprints or the largest shard."""
+        claim("simhash")
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            if sum(len(h[0]) for h in held) < TASK_NODES:
+                continue
+            fp, choice, bits = (np.concatenate(c) for c in zip(*held, strict=True))
+            tree = np.cumsum(np.r_[True, (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])])
+            whole = tree < tree[-1]  # the last shard may go on
+            if whole.any():
+                yield from joined(fp[whole], tree[whole])
+            held = [[fp[~whole], choice[~whole], bits[~whole]]]
+        if held:
+            fp, choice, bits = (np.concatenate(c) for c in zip(*held, strict=True))
+            yield from joined(fp, np.cumsum(np.r_[True, (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])])[: len(fp)])
+
+    return dealt.repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp and component_id (the least doc_id reachable by links) of every row, and the columns of longs to `keep`."""
+    rows = checkpoint(fingerprints(docs, words, keep))
     nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(links(nodes, nodes.count(), radius))
     member = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
@@ -178,7 +190,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_
     named = nodes.join(member.join(least, "root").select(F.col("node").alias("fp"), "component"), "fp", "left")
     # a join of two plain tables, so that adaptive execution can split a hot fingerprint
     named = checkpoint(named.select("fp", F.coalesce("component", "least").alias("component_id")))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", *keep)
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

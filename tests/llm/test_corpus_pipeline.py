@@ -3,6 +3,7 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as c
 
@@ -75,6 +76,31 @@ def test_run_packs_what_is_left(spark, corpus):
     assert len(by) <= 1.03 * sum(r.length for r in rows) / 4096 + 1
 
 
+def test_two_runs_do_not_share_a_folder(spark, corpus, tmp_path, monkeypatch):
+    folder, _, docs = corpus
+    monkeypatch.setattr(c, "shared_folder", lambda _: str(tmp_path))
+    first, second = c.run(spark, folder), c.run(spark, folder)
+    assert first.count() == second.count() > 0 and not list(tmp_path.iterdir())
+    small = tmp_path / "in"
+    spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(small / "documents.parquet"))
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(str(small / "labels.parquet"))
+    assert c.run(spark, str(small)).collect() == []  # an empty table
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, corpus):
+    folder, kinds, docs = corpus
+    clean = next(d[1] for d in docs if kinds[d[0]] == "clean")
+    odd = [(None, clean + " one more", None, None), (3, None, "en", 1), (3, None, "en", 1), (4, "", "fr", 2), (5, clean, "en", 3), (5, clean, "en", 3), (6, clean + " alta" * 30_000, "en", 4)]
+    df = spark.createDataFrame(odd, "doc_id long, text string, lang string, score long").withColumns({"band": F.lit(1), "fp": F.lit("x"), "rejected": F.lit(None).cast("boolean"), "root": F.lit(7), "v": F.lit(0)})
+    for name, stage in c.STAGES[:-1]:
+        kept = stage(spark, df, folder)
+        assert kept.columns == df.columns and stage(spark, df.limit(0), folder).collect() == [], name
+        found = sorted((r.doc_id or 0) for r in kept.collect())
+        assert found == {"exact_dedup": [0, 4, 5, 6], "simhash_near_dedup": [0, 3, 3, 5, 5, 6]}.get(name, found), name
+        assert {0, 5} <= set(found), name
+    assert {r.doc_id for r in c.packed(spark, df, folder).collect()} == {None, 3, 4, 5, 6}
+
+
 def test_entry_without_the_folder():
     root = Path(__file__).resolve().parents[2]
     assert os.path.exists(root / "corpus_pipeline.py") and "corpus_pipeline" in (root / "__spark_entry__.py").read_text()

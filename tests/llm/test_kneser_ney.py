@@ -65,6 +65,14 @@ def test_scores_equal_the_definition(spark):
     for r in rows:
         mean = means[r.lang][0] if means[r.lang][1] >= kn.MIN_TRUSTED else means["all"][0]
         assert r.score == pytest.approx((bits[r.doc_id, r.lang, r.n_bytes] + 64 * mean) / (r.n_bytes + 64), rel=1e-4)
+    for lang in ("en", "fr", None):  # thresholds by sorting the trusted scores
+        own = sorted(r.score for r in rows if r.lang == lang and r.doc_id in ids)
+        most = math.ceil(own[math.ceil(kn.QUANTILE * len(own)) - 1] / kn.RESOLUTION) * kn.RESOLUTION * kn.SLACK
+        weight = min(1, len(own) / kn.MIN_TRUSTED)
+        want = max(most, most * weight + kn.UNKNOWN_BITS * (1 - weight))
+        for r in rows:
+            if r.lang == lang:
+                assert r.threshold == pytest.approx(want) and r.rejected == (r.n_bytes > 0 and r.score > r.threshold)
     junk = {r.doc_id: r.rejected for r in rows if r.doc_id is not None and r.doc_id < 120 and r.doc_id % 6 == 0}
     assert all(junk.values()) and sum(r.rejected for r in rows if r.doc_id not in junk) <= 3
     assert not any(r.rejected for r in rows if r.n_bytes == 0)
@@ -95,3 +103,23 @@ def test_probabilities_sum_to_one(spark):
     p = brute_model([text])
     for h in (b"abra", b"zzzz", b"\n\n\n\n"):
         assert sum(p(h + bytes([w])) for w in range(256)) == pytest.approx(1)
+
+
+def test_blocks_do_not_change_scores(spark, monkeypatch):
+    docs = corpus(random.Random(6), 80) + [(900, "the hand with the thing " * 4000, "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(80) if i % 6], "doc_id long")
+    read = lambda: sorted((r.doc_id, round(r.score, 5), r.rejected) for r in kn.classify(df, trusted).collect())
+    one = read()
+    monkeypatch.setattr(kn, "BLOCK_BYTES", 500)
+    assert read() == one
+
+
+def test_quantiles_are_exact_ranks(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", None]), rng.random() * 5) for _ in range(999)]
+    for parts in (1, 7):
+        found = {r.lang: (r.value, r.n) for r in kn.quantiles(spark.createDataFrame(rows, "lang string, score double").repartition(parts), 0.9).collect()}
+        for lang in ("a", None):
+            own = sorted(s for x, s in rows if x == lang)
+            assert found[lang] == (pytest.approx(math.ceil(own[math.ceil(0.9 * len(own)) - 1] / kn.RESOLUTION) * kn.RESOLUTION), len(own))
