@@ -3,17 +3,27 @@
 A stage takes (spark, docs, sf_dir). All but the last return rows of `docs`
 with all their columns; the last returns where each piece of each document is
 packed.
+
+Defined results, of every stage and of the whole: a null text is the empty text,
+which the first two stages keep, the third keeps once and the fourth groups with
+texts without words; rows without doc_id pass the first two stages by their own
+text and are never dropped as copies of another id by the fourth; repeated rows
+are judged alike, and one stays after the third; of ties the row with the largest
+doc_id stays in the third, the least in the fourth; very long texts are read
+whole; an empty table gives an empty table; extra columns pass through all but
+the last stage, whatever their names.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stonefold.llm import exact_dedup, kneser_ney, near_copies, packing, toxicity
-from stonefold.llm.common import table
+from stonefold.llm.common import checkpoint, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,14 +63,36 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; one of this machine only where all of Spark runs on it and none is named, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="corpus-pipeline-")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each stage's rows written as Parquet in the shared folder and read again."""
+    """All stages over `documents`, each stage's rows written as Parquet in the shared folder and read again.
+
+    Each run has a folder of its own, which is deleted at its end: the result,
+    a few numbers a piece, is a checkpoint by then, which Spark removes with the
+    last plan that reads it.
+    """
     docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    folder = f"{shared}/corpus-pipeline-{spark.sparkContext.applicationId}-{id(docs)}"
-    for i, (name, stage) in enumerate(STAGES):
-        rows = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            rows.write.mode("overwrite").parquet(path := f"{folder}/{i}-{name}")
-            docs = spark.read.parquet(path)
-    return rows
+    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            rows = stage(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                rows.write.parquet(path := f"{folder}/{i}-{name}")
+                docs = spark.read.parquet(path)
+        return checkpoint(rows)
+    finally:
+        remove(spark, folder)
