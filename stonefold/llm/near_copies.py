@@ -8,14 +8,15 @@ of 4 rows. A pair of similarity 0.8 shares none with probability
 (1 - 0.8^4)^20 < 0.00003. Each pair that links is verified by its shingle sets
 (as 64-bit hashes).
 
-Bands of the same members count once. No group meets in one task: in each round
-a band names pivots, one at first and then up to 16 times as many, each from
-another component and none from the band's largest. A pivot and each member of
-another component make a pair, a row of a join that adaptive execution can
-split; verified pairs join up components. A band is done when one component is
-left in it, or when all its members outside of the largest component have been
-pivots, so that every two members of different components were compared. A group
-of n near copies makes n pairs, not n * n.
+Bands of the same members count once. First each member of a band is compared
+with the band's least one, a row of a join that adaptive execution can split;
+verified pairs join up components. Where a band still has several, the members
+outside of its largest component are compared with all of the band, in tasks of
+bounded size: chunks of the former meet chunks of the latter, each task finds
+the similarities from an index of its shingles, and returns links alone. So
+every two members of different components are compared, and a group of n copies
+of which r are unlike the least makes about n + r rows and, beyond the size of
+a chunk, n * r / chunk.
 
 Defined results: a null text is the empty text; texts without words are like
 each other; a text with fewer words than a shingle is one shingle; rows without
@@ -43,8 +44,8 @@ SHINGLE_WORDS = 5
 MIN_JACCARD = 0.8
 BANDS, ROWS = 20, 4
 SEED = 42
-#: Pivots of a band in the first round, by how much they grow from round to round, and at most.
-PIVOTS, GROWTH, MOST_PIVOTS = 1, 16, 4096
+#: Shingles of a chunk of members outside of the largest component, and of a chunk of all members.
+REST_CHUNK, ALL_CHUNK = 200_000, 1_000_000
 
 
 def shingles(text: str) -> np.ndarray:
@@ -115,40 +116,79 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, ["b", "bv"]).join(left, ["a", "av"]).where(both >= MIN_JACCARD * (F.size("aset") + F.size("bset") - both)).select("a", "b")
 
 
+def compared(chunks: DataFrame) -> DataFrame:
+    """Links (a, b) between the `rest` and the other members of each chunk pair of `chunks(band, i, j, rest, doc_id, root, set)`."""
+
+    def found(rows: list[tuple[bool, int, int, np.ndarray]]) -> pa.RecordBatch:
+        a, b = ([r for r in rows if r[0] is side] for side in (True, False))
+        ids, roots, sizes = (np.array(x, np.int64) for x in ([r[1] for r in b], [r[2] for r in b], [len(r[3]) for r in b]))
+        tokens = np.concatenate([np.zeros(0, np.int64), *(r[3] for r in b)])
+        owner = np.repeat(np.arange(len(b)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        left, right = [], []
+        for _, doc_id, root, own in a:
+            start, end = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+            n = end - start
+            where = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[where], minlength=len(b))
+            near = (both >= MIN_JACCARD * (len(own) + sizes - both)) & (roots != root)
+            left += [doc_id] * int(near.sum())
+            right.append(ids[near])
+        # a link for each two components is enough
+        root_of = {r[1]: r[2] for r in rows}
+        pairs = {(root_of[x], root_of[y]): (x, y) for x, y in zip(left, np.concatenate([np.zeros(0, np.int64), *right]).tolist(), strict=True)}
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs.values()], pa.int64()), pa.array([y for _, y in pairs.values()], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_copies")
+        now, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            values = zip(*(batch.column(k).to_pylist() for k in range(3, 6)), strict=True)
+            for i, (key, (rest, doc_id, root)) in enumerate(zip(keys, values, strict=True)):
+                if key != now and held:
+                    yield found(held)
+                    held = []
+                now = key
+                held.append((rest, doc_id, root, batch.column(6)[i].values.to_numpy()))
+        if held:
+            yield found(held)
+
+    return chunks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """`members` with the `root` of each."""
+    return checkpoint(members.join(roots, F.col("doc_id") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "doc_id")))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(node, root) of every doc_id that is not the least of its component."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("v"), "text")
     grouped = simhash.near_duplicates(rows, keep=("v",)).select("doc_id", "v", F.xxhash64(F.lit("simhash"), "component_id").alias("band"))
     signed = checkpoint(signatures(rows).union(grouped))
     own = F.xxhash64("doc_id", "v")
-    groups = signed.groupBy("band").agg(F.count("*").alias("n"), F.sum(own.cast("decimal(20,0)")).alias("sum"), F.bit_xor(own).alias("xor"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    groups = signed.groupBy("band").agg(F.count("*").alias("n"), F.sum(own.cast("decimal(20,0)")).alias("sum"), F.bit_xor(own).alias("xor"), F.min(F.struct("doc_id", "v")).alias("least"), F.max("doc_id").alias("most"))
     # joins by band are of plain tables, so that adaptive execution can split a hot one
-    groups = checkpoint(groups.where("least < most").groupBy("n", "sum", "xor").agg(F.min("band").alias("band")).select("band"))
-    members = checkpoint(signed.join(groups, "band").select("band", "doc_id", "v").distinct())
+    groups = checkpoint(groups.where("least.doc_id < most").groupBy("n", "sum", "xor").agg(F.min(F.struct("band", "least")).alias("g")).select("g.band", "g.least"))
+    members = checkpoint(signed.join(groups, "band").select("band", "doc_id", "v", "least").distinct())
     sets = checkpoint(shingle_sets(rows, members.select("doc_id", "v").distinct()))
-    spark = docs.sparkSession
-    roots = spark.createDataFrame([], "node long, root long")
-    done, tested, pivots_a_band = spark.createDataFrame([], "band long, doc_id long, v long"), spark.createDataFrame([], "a long, av long, b long, bv long"), PIVOTS
-    while True:
-        rooted = checkpoint(members.join(roots, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", "v", F.coalesce("root", "doc_id").alias("root")))
-        of_root = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
-        largest = checkpoint(of_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").select("band", "largest"))
-        left = checkpoint(rooted.join(largest, "band"))
-        choice = F.pmod(F.xxhash64("root", F.lit(pivots_a_band)), F.lit(pivots_a_band))
-        eligible = left.where("root <> largest").join(done, ["band", "doc_id", "v"], "left_anti")
-        pivots = checkpoint(eligible.groupBy("band", choice.alias("choice")).agg(F.min(F.struct("doc_id", "v", "root")).alias("p")).select("band", "p.*"))
-        if pivots.isEmpty():
-            return roots
-        done = done.union(pivots.select("band", "doc_id", "v"))
-        met = left.alias("m").join(pivots.alias("p"), F.expr("m.band = p.band AND m.root <> p.root"))
-        order = F.array_sort(F.array(F.struct(F.col("m.doc_id").alias("d"), F.col("m.v").alias("v")), F.struct(F.col("p.doc_id").alias("d"), F.col("p.v").alias("v"))))
-        pairs = met.select(order.alias("o")).select(F.expr("o[0].d").alias("a"), F.expr("o[0].v").alias("av"), F.expr("o[1].d").alias("b"), F.expr("o[1].v").alias("bv")).distinct()
-        pairs = checkpoint(pairs.join(tested, ["a", "av", "b", "bv"], "left_anti"))
-        tested = tested.union(pairs)
-        found = checkpoint(verified(pairs, sets))
-        if not found.isEmpty():
-            roots = connected_components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        members, pivots_a_band = left.select("band", "doc_id", "v"), min(pivots_a_band * GROWTH, MOST_PIVOTS)
+    pairs = members.where("doc_id <> least.doc_id").select(F.col("least.doc_id").alias("a"), F.col("least.v").alias("av"), F.col("doc_id").alias("b"), F.col("v").alias("bv")).distinct()
+    roots = checkpoint(connected_components(verified(checkpoint(pairs), sets)))
+
+    now = rooted(members.select("band", "doc_id", "v").join(sets.select("doc_id", "v", F.size("set").alias("size")), ["doc_id", "v"]), roots)
+    of_root = now.groupBy("band", "root").agg(F.sum(F.col("size") + 1).alias("size"))
+    open_bands = of_root.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    pieces = lambda size, chunk: F.ceil(size / chunk).cast("int")
+    open_bands = checkpoint(open_bands.select("band", "largest", pieces(F.col("all") - F.col("most"), REST_CHUNK).alias("n_i"), pieces(F.col("all"), ALL_CHUNK).alias("n_j")))
+    left = checkpoint(now.join(open_bands, "band"))
+    dealt = F.xxhash64("doc_id", "v")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = left.where("root <> largest").select("band", F.pmod(dealt, "n_i").cast("int").alias("i"), every("n_j").alias("j"), F.lit(True).alias("rest"), "doc_id", "root", "v")
+    all_of = left.select("band", every("n_i").alias("i"), F.pmod(dealt, "n_j").cast("int").alias("j"), F.lit(False).alias("rest"), "doc_id", "root", "v")
+    more = compared(rest.union(all_of).join(sets, ["doc_id", "v"]).select("band", "i", "j", "rest", "doc_id", "root", "set"))
+    return connected_components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from stonefold.llm import near_copies
 from stonefold.llm.near_copies import keep_one
 
 
@@ -8,14 +11,17 @@ def grams(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-def test_keep_one_equals_brute_force(spark):
+@pytest.mark.parametrize("chunks", [(200_000, 1_000_000), (300, 700)])
+def test_keep_one_equals_brute_force(spark, monkeypatch, chunks):
+    monkeypatch.setattr(near_copies, "REST_CHUNK", chunks[0])
+    monkeypatch.setattr(near_copies, "ALL_CHUNK", chunks[1])
     rng = random.Random(8)
     words = [f"w{i}" for i in range(300)]
     base = [rng.choices(words, k=rng.choice([40, 120, 400])) for _ in range(12)]
     docs = [(1, None), (2, " "), (3, "one two"), (4, "One  two"), (None, "one two"), (9, "same here"), (9, "same here")]
     for i in range(150):
         some = list(base[i % 12])
-        for _ in range(rng.randrange(1 + len(some) // 25)):
+        for _ in range(rng.randrange(1 + len(some) // 20)):
             some[rng.randrange(len(some))] = f"e{rng.randrange(99)}"
         docs.append((100 + i, " ".join(some)))
     sets, of = [grams(t) for _, t in docs], list(range(len(docs)))
