@@ -157,18 +157,46 @@ def import_faults(source: DataFrame, imported: DataFrame) -> DataFrame:
     return fields.union(links)
 
 
-def first_divergence(a: DataFrame, b: DataFrame, gaps: DataFrame) -> DataFrame:
-    """First position where two streams (pos, op) differ or one has ended; it is a capability gap if that side skips the op: one row, none if they are equal."""
+def first_divergence(a: DataFrame, b: DataFrame, gaps: DataFrame, by: str) -> DataFrame:
+    """For each `by`, the first position where two streams (by, pos, op) differ or one has ended; it is a capability gap if that side skips the op. No row where they are equal."""
     return sql(
-        """SELECT x.* FROM (SELECT min_by(struct(pos, native_op, tested_op, capability), pos) AS x FROM (
-             SELECT coalesce(a.pos, b.pos) AS pos, a.op AS native_op, b.op AS tested_op, g.op IS NOT NULL AS capability
-             FROM {a} a FULL OUTER JOIN {b} b ON a.pos = b.pos LEFT JOIN {g} g ON g.op = a.op WHERE NOT a.op <=> b.op)) WHERE x IS NOT NULL""",
+        f"""SELECT {by}, x.* FROM (SELECT {by}, min_by(struct(pos, native_op, tested_op, capability), pos) AS x FROM (
+             SELECT coalesce(a.{by}, b.{by}) AS {by}, coalesce(a.pos, b.pos) AS pos, a.op AS native_op, b.op AS tested_op, g.op IS NOT NULL AS capability
+             FROM {{a}} a FULL OUTER JOIN {{b}} b ON a.{by} = b.{by} AND a.pos = b.pos LEFT JOIN {{g}} g ON g.op = a.op WHERE NOT a.op <=> b.op) GROUP BY {by})""",
         a=a,
         b=b,
         g=gaps,
     )
 
 
+def row_faults(lines: DataFrame) -> DataFrame:
+    """Why lines of result files (file, n, line) cannot be trusted, a row for each (file, n, fault); blank lines are skipped.
+
+    A file has one `meta` record, before any other; a `rep` has a positive
+    number of seconds; other kinds are unknown.
+    """
+    return sql(
+        """WITH parsed AS (SELECT file, n, schema_of_variant(try_parse_json(line)) AS shape, get_json_object(line, '$.kind') AS kind, try_cast(get_json_object(line, '$.seconds') AS DOUBLE) AS seconds FROM {l} WHERE trim(line) <> ''),
+                first AS (SELECT file, min(n) AS meta FROM parsed WHERE kind = 'meta' GROUP BY file)
+           SELECT p.file, p.n, f.fault FROM parsed p LEFT JOIN first m ON p.file = m.file LATERAL VIEW explode(filter(
+             CASE WHEN shape IS NULL THEN array('not JSON') WHEN NOT startswith(shape, 'OBJECT') THEN array('not a JSON object') ELSE array(
+               CASE WHEN kind = 'meta' AND p.n > meta THEN 'more than one meta record' END,
+               CASE WHEN kind = 'rep' AND (meta IS NULL OR p.n < meta) THEN 'rep before the meta record' END,
+               CASE WHEN kind = 'rep' AND NOT coalesce(seconds > 0, false) THEN 'seconds are not a positive number' END,
+               CASE WHEN kind IS NULL OR kind NOT IN ('meta', 'rep') THEN 'unknown kind' END) END, x -> x IS NOT NULL)) f AS fault""",
+        l=lines,
+    )
+
+
+def classified(texts: DataFrame, groups: list[tuple[str, list[tuple[str, str]]]], default: str = "SAFE", text_col: str = "text") -> DataFrame:
+    """`texts` with `verdict`, that of the last of the ordered `groups` of (pattern, reason) with a hit, and all `reasons`."""
+    hit = lambda patterns: [F.when(F.col(text_col).rlike(p), why) for p, why in patterns]
+    verdict = F.lit(default)
+    for name, patterns in groups:
+        verdict = F.when(F.array_size(F.array_compact(F.array(*hit(patterns)))) > 0, name).otherwise(verdict)
+    return texts.withColumns({"verdict": verdict, "reasons": F.array_compact(F.array(*[c for _, patterns in groups for c in hit(patterns)]))})
+
+
 def attributed(deltas: DataFrame, gaps: DataFrame) -> DataFrame:
     """Operation counts that differ, explained if the operation is a known gap."""
     return sql("SELECT d.op, d.delta, g.op IS NOT NULL AS explained FROM {d} d LEFT JOIN (SELECT DISTINCT op FROM {g}) g ON d.op = g.op WHERE d.delta <> 0", d=deltas, g=gaps)

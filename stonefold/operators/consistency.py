@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from stonefold.operators import graph
 from stonefold.operators.base import sql
 
 
@@ -41,13 +43,15 @@ def graph_faults(inodes: DataFrame, names: DataFrame, root: int) -> DataFrame:
     """Namespace faults of inodes (ino, kind, nlink, parent) and names (dir, child): link counts, orphans, wrong parents, unreachable directories.
 
     A file has as many links as names, a directory two and one for each
-    subdirectory.
+    subdirectory. Directories are walked by a frontier loop over checkpointed
+    tables: any depth and number, and cycles end.
     """
+    dirs = sql("SELECT dir AS parent, child FROM {n} JOIN {i} i ON child = i.ino WHERE i.kind = 'd'", n=names, i=inodes)
+    reach = graph.reachable(dirs, inodes.sparkSession.createDataFrame([(root,)], "id long")).select(F.col("id").alias("ino"))
     return sql(
-        f"""WITH RECURSIVE reach(ino) AS (SELECT CAST({root} AS BIGINT) UNION ALL SELECT n.child FROM reach r JOIN {{d}} n ON n.dir = r.ino),
-            links AS (SELECT child AS ino, count(*) AS names, max(dir) AS dir FROM {{n}} GROUP BY child),
+        f"""WITH links AS (SELECT child AS ino, count(*) AS names, max(dir) AS dir FROM {{n}} GROUP BY child),
             subs AS (SELECT dir AS ino, count_if(kind = 'd') AS subs FROM {{n}} JOIN {{i}} i ON child = i.ino GROUP BY dir)
-            SELECT i.ino, f.fault FROM {{i}} i LEFT JOIN links l USING (ino) LEFT JOIN subs s USING (ino) LEFT JOIN (SELECT DISTINCT ino AS seen FROM reach) ON ino = seen
+            SELECT i.ino, f.fault FROM {{i}} i LEFT JOIN links l USING (ino) LEFT JOIN subs s USING (ino) LEFT JOIN (SELECT ino AS seen FROM {{r}}) ON ino = seen
             LATERAL VIEW explode(filter(array(
               CASE WHEN i.ino <> {root} AND l.names IS NULL THEN 'orphan' END,
               CASE WHEN i.kind <> 'd' AND coalesce(l.names, 0) <> i.nlink THEN 'link count' WHEN i.kind = 'd' AND coalesce(s.subs, 0) + 2 <> i.nlink THEN 'link count' END,
@@ -55,7 +59,7 @@ def graph_faults(inodes: DataFrame, names: DataFrame, root: int) -> DataFrame:
               CASE WHEN i.kind = 'd' AND seen IS NULL THEN 'unreachable' END), x -> x IS NOT NULL)) f AS fault""",
         i=inodes,
         n=names,
-        d=sql("SELECT dir, child FROM {n} JOIN {i} i ON child = i.ino WHERE i.kind = 'd'", n=names, i=inodes),
+        r=reach,
     )
 
 

@@ -113,6 +113,17 @@ def splice(extents: DataFrame, edits: DataFrame, versions: DataFrame) -> DataFra
     )
 
 
+def spliced(extents: DataFrame, edits: DataFrame, versions: DataFrame) -> DataFrame:
+    """The extents (file, block, off, len) after `splice`: where it succeeded, [lo, hi) is the new one and what comes after is moved; other files stay as they are."""
+    done = sql("SELECT d.* FROM {d} d JOIN {o} o ON d.file = o.file WHERE o.outcome = 'spliced'", d=edits, o=splice(extents, edits, versions))
+    return sql(
+        """SELECT e.file, e.block, CASE WHEN d.file IS NOT NULL AND e.off >= d.hi THEN e.off - (d.hi - d.lo) + d.len ELSE e.off END AS off, e.len FROM {e} e LEFT JOIN {d} d ON e.file = d.file
+           WHERE d.file IS NULL OR e.off + e.len <= d.lo OR e.off >= d.hi UNION ALL SELECT file, block, lo, len FROM {d} WHERE len > 0""",
+        e=extents,
+        d=done,
+    )
+
+
 def hole_refs(lengths: DataFrame, most: int = MAX_HOLE) -> DataFrame:
     """A length as holes of at most `most` bytes each."""
     return sql(f"SELECT id, k AS ord, least({most}, len - k * {most}) AS len FROM {{l}} LATERAL VIEW explode(sequence(0L, (len - 1) DIV {most})) AS k WHERE len > 0", l=lengths)

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stonefold.operators.base import sql
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder; a temporary one only where none is named."""
-    import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; one of this machine only where all of Spark runs on it and none is named, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return shared or tempfile.mkdtemp(prefix="stonefold-")
 
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stonefold-"))
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the cluster's shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -53,8 +61,21 @@ def in_degree(edges: DataFrame) -> DataFrame:
 
 
 def ancestry(parents: DataFrame, of: int) -> DataFrame:
-    """A process and all its ancestors over `parents(pid, ppid)`."""
-    return sql(f"WITH RECURSIVE up(pid, depth) AS (SELECT CAST({of} AS BIGINT), 0 UNION ALL SELECT p.ppid, depth + 1 FROM up JOIN {{p}} p ON p.pid = up.pid WHERE p.ppid IS NOT NULL AND p.ppid <> p.pid) SELECT pid, min(depth) AS depth FROM up GROUP BY pid", p=parents)
+    """A process and all its ancestors over `parents(pid, ppid)`, with their distance.
+
+    By pointer doubling: a round doubles the length of all jumps, so a chain of
+    any length takes the logarithm of it in rounds. Cycles end.
+    """
+    jumps = parents.where("ppid IS NOT NULL AND ppid <> pid").select(F.col("pid").cast("long").alias("at"), F.col("ppid").cast("long").alias("up"))
+    seen, step = cut_lineage(parents.sparkSession.createDataFrame([(of, 0)], "pid long, depth int")), 1
+    jumps = cut_lineage(jumps.groupBy("at").agg(F.min("up").alias("up")))
+    while True:
+        more = seen.join(jumps, F.col("pid") == F.col("at")).select(F.col("up").alias("pid"), (F.col("depth") + step).alias("depth"))
+        wider = cut_lineage(seen.union(more).groupBy("pid").agg(F.min("depth").alias("depth")))
+        if wider.count() == seen.count():
+            return wider
+        seen, step = wider, 2 * step
+        jumps = cut_lineage(jumps.alias("a").join(jumps.alias("b"), F.expr("a.up = b.at")).select("a.at", "b.up"))
 
 
 def bounded_closure(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
@@ -92,16 +113,20 @@ def reap(nodes: DataFrame, live: DataFrame, batch: int) -> DataFrame:
 
 
 def merkle(nodes: DataFrame, depth: int) -> DataFrame:
-    """Tree hashes of `nodes(id, parent, depth, name, content, size)` bottom-up: a leaf hashes its content, a directory its sorted (name, hash) list.
+    """Tree hashes of `nodes(id, parent, depth, name, content, size)` bottom-up, and the files and bytes below.
 
-    Also the files and bytes below. One aggregation by parent a level, so depth
-    rounds in all.
+    A file (content not null) hashes `f` and its content, a directory `d` and its
+    sorted entries. An entry is its kind, the length of its name in bytes, a
+    colon, the name and the hash, so no two trees have the same encoding. One
+    aggregation by parent a level, so depth rounds in all.
     """
+    kind = F.when(F.col("content").isNull(), "d").otherwise("f")
     done = None
-    rest = nodes.withColumns({"hash": F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256), "files": F.when(F.col("content").isNotNull(), 1).otherwise(0).cast("long"), "bytes": F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long"))})
+    rest = nodes.withColumns({"hash": F.sha2(F.concat(kind, F.coalesce("content", F.lit(""))).cast("binary"), 256), "files": F.when(F.col("content").isNotNull(), 1).otherwise(0).cast("long"), "bytes": F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long"))})
     for d in range(depth, 0, -1):
         below = rest.where(F.col("depth") == d) if done is None else done
-        up = below.groupBy(F.col("parent").alias("id")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", "hash"))), ",").cast("binary"), 256).alias("h"), F.sum("files").alias("f"), F.sum("bytes").alias("b"))
+        entry = F.concat(kind, F.octet_length("name").cast("string"), F.lit(":"), "name", "hash")
+        up = below.groupBy(F.col("parent").alias("id")).agg(F.sha2(F.concat(F.lit("d"), F.array_join(F.array_sort(F.collect_list(entry)), "")).cast("binary"), 256).alias("h"), F.sum("files").alias("f"), F.sum("bytes").alias("b"))
         level = rest.where(F.col("depth") == d - 1).join(up, "id", "left")
         done = level.select(*nodes.columns, F.coalesce("h", "hash").alias("hash"), (F.col("files") + F.coalesce("f", F.lit(0))).alias("files"), (F.col("bytes") + F.coalesce("b", F.lit(0))).alias("bytes"))
     return done.select("id", "name", "hash", "files", "bytes")

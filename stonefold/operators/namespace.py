@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stonefold.operators import graph
 from stonefold.operators.base import sql
 
 #: Error numbers of Linux.
@@ -133,8 +134,8 @@ def rename(entries: DataFrame, request: tuple[int, str, int, str], replace: bool
     if found is None:
         return entries, "NotFound"
     if found["kind"] == "d":
-        up = sql(f"WITH RECURSIVE up(ino) AS (SELECT CAST({dst} AS BIGINT) UNION ALL SELECT e.dir FROM up JOIN {{e}} e ON e.child = up.ino) SELECT 1 FROM up WHERE ino = {found['child']}", e=entries.where("kind = 'd'"))
-        if not up.isEmpty():
+        parents = entries.where("kind = 'd'").select(F.col("child").alias("pid"), F.col("dir").alias("ppid"))
+        if not graph.ancestry(parents, dst).where(F.col("pid") == found["child"]).isEmpty():
             return entries, "InvalidArgument"
     taken = (F.col("dir") == dst) & (F.col("name") == to)
     if not replace and not entries.where(taken).isEmpty():

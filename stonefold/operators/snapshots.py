@@ -1,17 +1,26 @@
 """Snapshots as versions of a table directory.
 
-A store is a folder of Parquet versions: `v000001`, `v000002`, ... A version is
-visible once Spark's commit marker is in it, so a torn write is never read; a
-change writes the next version whole. All file access goes through Spark's own
-file system layer, so any store that Spark reads will do.
+A store is a folder with the rows of each version and a marker for it: `v1`,
+`v2`, ... A version is written whole under a name of its own, then its marker is
+created, which fails if another writer was first, so a version is seen whole or
+not at all and is never filled twice. Ids are never given out again: each
+version also holds the largest one that ever was. All file access goes through
+Spark's own file system layer; it must create files exclusively.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stonefold.functions.paths import snapshot_name_fault
+from stonefold.operators import graph
+
 COLUMNS = "id long, name string, root string, parent long"
+#: End of the name of a clone that a swap has staged; no other name may have it.
+STAGED = ".swap~"
 
 
 class Snapshots:
@@ -28,35 +37,68 @@ class Snapshots:
     def versions(self) -> list[str]:
         """Committed versions, oldest first."""
         fs, path = self._path("")
-        found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return [v for v in sorted(found) if v[0] == "v" and self._path(f"{v}/_SUCCESS")[0].exists(self._path(f"{v}/_SUCCESS")[1])]
+        found = [s.getPath().getName() for s in fs.listStatus(path) if s.getLen() > 0 and s.isFile()] if fs.exists(path) else []
+        return sorted((v for v in found if v[0] == "v" and v[1:].isdigit()), key=lambda v: int(v[1:]))
 
-    def table(self, version: str | None = None) -> DataFrame:
-        """All snapshots of the last committed version, or of the one given."""
-        known = self.versions()
-        if not known:
+    def _rows(self, version: str | None) -> DataFrame:
+        if version is None:
             return self.spark.createDataFrame([], COLUMNS)
-        return self.spark.read.schema(COLUMNS).parquet(f"{self.folder}/{version or known[-1]}")
+        fs, path = self._path(version)
+        stream = fs.open(path)
+        try:
+            data = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return self.spark.read.schema(COLUMNS).parquet(f"{self.folder}/{data}")
 
-    def commit(self, rows: DataFrame) -> str:
-        fs, path = self._path("")
-        taken = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        name = f"v{max([int(t[1:]) for t in taken if t[0] == 'v'], default=0) + 1:06d}"
-        rows.select("id", "name", "root", "parent").write.parquet(f"{self.folder}/{name}")
+    def _last(self) -> str | None:
+        return next(reversed(self.versions()), None)
+
+    def table(self, version: str | None = None) -> DataFrame:
+        """All snapshots of the last committed version, or of the one given."""
+        return self._rows(version or self._last()).where("name IS NOT NULL")
+
+    def commit(self, rows: DataFrame, after: str | None = None) -> str:
+        """Write `rows` as the version after `after` (default: the last one); FileExistsError if another writer did."""
+        last = after or self._last()
+        most = self._rows(last).select("id").union(rows.select("id")).agg(F.max("id")).first()[0]
+        mark = self.spark.createDataFrame([(most, None, None, None)], COLUMNS)
+        data = f"data-{uuid.uuid4().hex}"
+        rows.select("id", "name", "root", "parent").union(mark).write.parquet(f"{self.folder}/{data}")
+        name = f"v{int(last[1:]) + 1 if last else 1}"
+        fs, path = self._path(name)
+        try:
+            out = fs.create(path, False)
+        except Exception as e:
+            if "already exists" not in str(e) and "FileAlreadyExists" not in str(e):
+                raise
+            raise FileExistsError(f"{name}: another writer was first") from e
+        try:
+            out.write(bytearray(data.encode()))
+        finally:
+            out.close()
         return name
 
+    def _check(self, name: str) -> None:
+        fault = "reserved" if name.endswith(STAGED) else self.spark.range(1).select(snapshot_name_fault(F.lit(name))).first()[0]
+        if fault:
+            raise ValueError(f"{name!r}: {fault}")
+
     def find(self, name: str):
         return self.table().where(F.col("name") == name).first()
 
     def _new(self, name: str, root: str, parent: int | None) -> int:
+        if not name.endswith(STAGED):
+            self._check(name)
         if self.find(name):
             raise FileExistsError(name)
-        new = (self.table().agg(F.max("id")).first()[0] or 0) + 1
+        new = (self._rows(self._last()).agg(F.max("id")).first()[0] or 0) + 1
         self.commit(self.table().union(self.spark.createDataFrame([(new, name, root, parent)], COLUMNS)))
         return new
 
     def create(self, name: str) -> int:
         """An empty tree."""
+        self._check(name)
         return self._new(name, "empty", None)
 
     def fork(self, source: str, name: str) -> int:
@@ -77,6 +119,7 @@ class Snapshots:
 
     def rename(self, old: str, new: str) -> None:
         """The same id under a new name."""
+        self._check(new)
         row = self._existing(old)
         if self.find(new):
             raise FileExistsError(new)
@@ -96,10 +139,16 @@ class Snapshots:
         self.commit(self.table().where(F.col("id") != row["id"]))
 
     def swap(self, source: str, target: str) -> int:
-        """Reset `target` to a fresh clone of `source`: staged under a reserved name, then one version moves the name; an interrupted swap leaves `target` as it was."""
+        """Reset `target` to a fresh clone of `source`.
+
+        The clone is staged in one version, under a name that is the record of
+        the intent; the next version moves the name. `recover` finishes a swap
+        that was interrupted between the two.
+        """
         self.recover()
-        new = self.fork(source, f"{target}.swap~")
-        self.replace(f"{target}.swap~", target)
+        self._check(target)
+        new = self.fork(source, target + STAGED)
+        self.replace(target + STAGED, target)
         return new
 
     def promote(self, source: str, base: str) -> int:
@@ -107,12 +156,12 @@ class Snapshots:
         return self.swap(source, base) if self.find(base) else self.fork(source, base)
 
     def recover(self) -> None:
-        """Roll back swaps that were not finished."""
-        rows = self.table()
-        if not rows.where(F.col("name").endswith(".swap~")).isEmpty():
-            self.commit(rows.where(~F.col("name").endswith(".swap~")))
+        """Roll staged swaps forward."""
+        for row in self.table().where(F.col("name").endswith(STAGED)).orderBy("id").collect():  # one at most, as swaps recover first
+            self.replace(row["name"], row["name"].removesuffix(STAGED))
 
     def lineage(self, name: str) -> DataFrame:
         """A snapshot and its ancestors."""
-        row = self._existing(name)
-        return self.spark.sql("WITH RECURSIVE up(id, depth) AS (SELECT CAST({i} AS BIGINT), 0 UNION ALL SELECT s.parent, depth + 1 FROM up JOIN {s} s ON s.id = up.id WHERE s.parent IS NOT NULL) SELECT s.id, s.name, up.depth FROM up JOIN {s} s USING (id)".replace("{i}", str(row["id"])), s=self.table())
+        rows = self.table()
+        up = graph.ancestry(rows.select(F.col("id").alias("pid"), F.col("parent").alias("ppid")), self._existing(name)["id"])
+        return up.join(rows, F.col("pid") == F.col("id")).select("id", "name", "depth")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stonefold.operators.base import sql
@@ -159,10 +161,22 @@ def completion(phases: DataFrame) -> DataFrame:
     return sql("SELECT name, count_if(i.closed) AS closed, count(i) AS total FROM (SELECT name, explode_outer(items) AS i FROM {p}) GROUP BY name", p=phases)
 
 
+def _uniform(seed: int, *parts: Column) -> Column:
+    """A number within 0 and 1 that hangs on the seed and the parts alone: 52 bits of their MD5."""
+    text = F.concat_ws(":", F.lit(seed), *[p.cast("string") for p in parts])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def noise_simulation(spark, sigmas: list[float], trials: int, add: float = 0.5, base: float = 23.0, reps: int = 5, bar: float = 2.0, seed: int = 1) -> DataFrame:
-    """Shares of PASS, FAIL and undecided verdicts under log-normal noise of each sigma, by seeded Monte Carlo."""
-    rows = spark.range(trials).select("id", F.explode(F.array(*map(F.lit, sigmas))).alias("sigma")).select("id", "sigma", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    rows = rows.withColumns({"a": F.lit(base) * F.exp(F.col("sigma") * F.randn(seed)), "b": F.lit(base + add) * F.exp(F.col("sigma") * F.randn(seed + 1))})
+    """Shares of PASS, FAIL and undecided verdicts under log-normal noise of each sigma, by seeded Monte Carlo.
+
+    Noise comes from a hash of seed, side, sigma, trial and repetition, so it is
+    the same however rows are dealt.
+    """
+    rows = spark.range(trials).select("id", F.explode(F.array(*map(F.lit, range(len(sigmas))))).alias("s")).select("id", "s", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    normal = lambda side: F.sqrt(-2 * F.log(_uniform(seed, F.lit(side + "u"), F.col("s"), F.col("id"), F.col("rep")))) * F.cos(2 * math.pi * _uniform(seed, F.lit(side + "v"), F.col("s"), F.col("id"), F.col("rep")))
+    sigma = F.element_at(F.array(*[F.lit(float(x)) for x in sigmas]), F.col("s") + 1)
+    rows = rows.withColumns({"sigma": sigma, "a": F.lit(base) * F.exp(sigma * normal("a")), "b": F.lit(base + add) * F.exp(sigma * normal("b"))})
     ends = rows.groupBy("sigma", "id").agg(*[f(c).alias(f"{n}_{c}") for c in "ab" for n, f in (("lo", F.min), ("hi", F.max))])
     verdict = F.when(F.col("hi_b") <= bar * F.col("lo_a"), "PASS").when(F.col("lo_b") > bar * F.col("hi_a"), "FAIL").otherwise("undecided")
     return ends.groupBy("sigma").agg(*[(F.count_if(verdict == v) / trials).alias(v.lower()) for v in ("PASS", "FAIL", "undecided")])

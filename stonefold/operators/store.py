@@ -7,6 +7,9 @@ empty table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,11 +108,26 @@ def split_pack(records: DataFrame, pack: int, live: DataFrame) -> DataFrame:
 def copy_batches(records: DataFrame, budget: int) -> DataFrame:
     """Live records of each pack cut into batches of at most `budget` bytes, in record order.
 
-    A batch takes whole records up to the budget; a record alone over it is a
-    batch of its own. Cutting is by running sum: a record belongs to the batch
-    in which it starts.
+    A batch takes whole records while they fit; its first always does. Each cut
+    hangs on the one before, so a pack is read in order, in bounded memory.
     """
-    return sql(f"SELECT pack, ord, file, len, (sum(len) OVER (PARTITION BY pack ORDER BY file, ord ROWS UNBOUNDED PRECEDING) - len) DIV {budget} AS batch FROM {{r}}", r=records)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, n = None, 0, 0
+        for batch in batches:
+            out = []
+            for pack, size in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if pack != now:
+                    now, used, n = pack, 0, 0
+                if used > 0 and used + size > budget:
+                    used, n = 0, n + 1
+                used += size
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "batch"])
+
+    rows = records.select("pack", "ord", "file", "len")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return rows.repartition("pack").sortWithinPartitions("pack", "file", "ord").mapInArrow(run, f"{schema}, batch long")
 
 
 def discardable(condemned: DataFrame, live_now: DataFrame) -> DataFrame:

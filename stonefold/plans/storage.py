@@ -182,18 +182,19 @@ def compaction_begin(spark, d):
     return store.split_pack(view(spark, d, "chunks"), 7, live(spark, d))
 
 
-@query(LIVE + " SELECT pack, ord, file, len, CAST((sum(len) OVER (PARTITION BY pack ORDER BY file, ord ROWS UNBOUNDED PRECEDING) - len) // 1000 AS BIGINT) AS batch FROM chunks WHERE block IN (SELECT id FROM live)", "chunks", "inodes")
+@query(LIVE + ", o AS (SELECT pack, ord, file, len, row_number() OVER (PARTITION BY pack ORDER BY file, ord) AS n FROM chunks WHERE block IN (SELECT id FROM live)), walk AS (SELECT pack, n, len AS used, 0 AS batch FROM o WHERE n = 1 UNION ALL SELECT o.pack, o.n, CASE WHEN w.used > 0 AND w.used + o.len > 1000 THEN o.len ELSE w.used + o.len END, CASE WHEN w.used > 0 AND w.used + o.len > 1000 THEN w.batch + 1 ELSE w.batch END FROM walk w JOIN o ON o.pack = w.pack AND o.n = w.n + 1) SELECT o.pack, ord, file, len, CAST(batch AS BIGINT) AS batch FROM o JOIN walk w ON o.pack = w.pack AND o.n = w.n", "chunks", "inodes")
 def compaction_copy(spark, d):
-    """Live records of each pack in batches of the byte budget (2.10.19)."""
+    """Live records of each pack in batches that never exceed the byte budget (2.10.19)."""
     chunks = view(spark, d, "chunks")
     return store.copy_batches(chunks.join(live(spark, d).withColumnRenamed("id", "block"), "block", "left_semi"), 1000)
 
 
-@query(", c AS (SELECT DISTINCT pack, block FROM chunks WHERE block % 7 = 0), l AS (SELECT DISTINCT block AS id FROM chunks JOIN inodes ON file = ino WHERE kind = 'P') SELECT pack, count(*) AS condemned, count(id) AS revived, count(id) = 0 AS discard FROM c LEFT JOIN l ON block = id GROUP BY pack", "chunks", "inodes")
+@query(", c AS (SELECT DISTINCT pack, block FROM chunks WHERE block NOT IN (SELECT block FROM chunks JOIN inodes ON file = ino WHERE kind = 'O')), l AS (SELECT DISTINCT block AS id FROM chunks JOIN inodes ON file = ino WHERE kind = 'P') SELECT pack, count(*) AS condemned, count(id) AS revived, count(id) = 0 AS discard FROM c LEFT JOIN l ON block = id GROUP BY pack", "chunks", "inodes")
 def compaction_discard(spark, d):
     """Packs that may be unlinked, as no condemned id became live (2.10.20)."""
     some = sql("SELECT DISTINCT block AS id FROM {c} JOIN {i} ON file = ino WHERE kind = 'P'", c=view(spark, d, "chunks"), i=view(spark, d, "inodes"))
-    return store.discardable(view(spark, d, "chunks").where("block % 7 = 0").select("pack", "block").distinct(), some)
+    before = sql("SELECT DISTINCT block FROM {c} JOIN {i} ON file = ino WHERE kind = 'O'", c=view(spark, d, "chunks"), i=view(spark, d, "inodes"))
+    return store.discardable(view(spark, d, "chunks").join(before, "block", "left_anti").select("pack", "block").distinct(), some)
 
 
 @query(" SELECT block AS id FROM chunks JOIN inodes ON file = ino WHERE kind IN ('O', 'P') GROUP BY block", "chunks", "inodes")
@@ -320,6 +321,22 @@ def splice_content(spark, d):
     return extents.splice(old, edits, inodes.selectExpr("ino AS file", "ino % 4 AS version"))
 
 
+@query(OFF + ", x AS (SELECT file, min(off) FILTER (off > 0) AS lo, max(off) AS hi, file % 3 AS expected, file % 4 AS version FROM e GROUP BY file HAVING count(*) > 2), ok AS (SELECT * FROM x WHERE expected = version) SELECT file, off, block, len FROM e WHERE file NOT IN (SELECT file FROM ok) UNION ALL SELECT e.file, off, block, len FROM e JOIN ok ON e.file = ok.file WHERE off < lo UNION ALL SELECT file, lo, -1, 7 FROM ok UNION ALL SELECT e.file, lo + 7, block, len FROM e JOIN ok ON e.file = ok.file WHERE off = hi", "chunks")
+def spliced_extents(spark, d):
+    """The chunk lists after range replacement: the middle of each file becomes one chunk of seven bytes, the last is moved (2.10.8)."""
+    old = extents.offsets(view(spark, d, "chunks")).select("file", "block", "off", "len")
+    edits = sql("SELECT file, file % 3 AS expected, min(off) FILTER (WHERE off > 0) AS lo, max(off) AS hi, -1L AS block, 7L AS len FROM {e} GROUP BY file HAVING count(*) > 2", e=old)
+    out = extents.spliced(old, edits, sql("SELECT DISTINCT file, file % 4 AS version FROM {e}", e=old))
+    return out.select("file", F.col("off").cast("long").alias("off"), "block", F.col("len").cast("long").alias("len"))
+
+
+@query(" SELECT file, ord, 'block too long' AS why FROM chunks WHERE len > 45 ORDER BY file, ord LIMIT 50", "chunks")
+def capped_report(spark, d):
+    """The first 50 findings of a check, in order; the cap is the feature (2.6.5, 2.6.6)."""
+    rows = view(spark, d, "chunks").withColumn("hole", F.lit(False))
+    return consistency.capped(extents.invalid_refs(rows, 45), "file, ord", 50).select("file", "ord", "why")
+
+
 @query(" SELECT id, k AS ord, least(1000, ulen * 300 - k * 1000) AS len FROM (SELECT *, unnest(range(0, (ulen * 300 - 1) // 1000 + 1)) AS k FROM blocks)", "blocks")
 def hole_refs(spark, d):
     """Lengths as holes of bounded size (2.9.8)."""

@@ -56,15 +56,23 @@ def load_index(spark: SparkSession, path: str, rebuild: Callable[[], DataFrame])
     return entries if check and (check["n"], check["sign"]) == tuple(found) else rebuild()
 
 
-def ingest(source: DataFrame, folder: str, publish: Callable[[str], None], faults: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
-    """Stage a tree, verify what was written against the source, then publish; a fault stops before. How many rows."""
+def ingest(source: DataFrame, folder: str, publish: Callable[[str], None], faults: Callable[[DataFrame, DataFrame], DataFrame], known: DataFrame | None = None) -> dict[str, int]:
+    """Stage a tree, verify what was written against the source, then publish; a fault stops before.
+
+    The report: files, bytes and, of distinct contents (`digest`) that `known`
+    lacks, their number (new) and bytes (stored).
+    """
     source.write.mode("overwrite").parquet(folder)
     staged = source.sparkSession.read.parquet(folder)
     found = faults(source, staged).take(5)
     if found:
         raise ValueError(f"the staged tree differs: {found}")
+    fresh = staged.where("digest IS NOT NULL").groupBy("digest").agg(F.max("size").alias("size"))
+    if known is not None:
+        fresh = fresh.join(known.select("digest"), "digest", "left_anti")
+    total, new = (x.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("size")).first() for x in (staged, fresh))
     publish(folder)
-    return staged.count()
+    return {"files": total["n"], "bytes": total["size"], "new": new["n"], "stored": new["size"]}
 
 
 def seek(table: DataFrame, key: str, at) -> DataFrame:

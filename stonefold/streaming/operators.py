@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,12 +28,27 @@ def elided(ops: DataFrame, create: str, unlink: str) -> DataFrame:
 
 
 def replayed(ops: DataFrame, seconds: int) -> DataFrame:
-    """Requests (key, op, ts, seq) as new, or as a replay of an equal one answered at most so long before; an answer's age counts from its first request."""
-    return sql(
-        f"""SELECT key, op, seq, ts, CASE WHEN prev IS NOT NULL AND unix_micros(ts) - unix_micros(prev) <= {seconds} * 1000000L THEN 'replay' ELSE 'new' END AS state
-            FROM (SELECT *, lag(ts) OVER (PARTITION BY key, op ORDER BY ts, seq) AS prev FROM {{o}})""",
-        o=ops,
-    )
+    """Requests (key, op, ts, seq) as new, or as a replay of an equal one answered less than so long before.
+
+    An answer's age counts from the request that made it: replays do not renew
+    it, so a chain of retries ends. Each key's requests are read in order, in
+    bounded memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, made = None, 0
+        for batch in batches:
+            out = []
+            for key, op, at in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4)), strict=True):
+                fresh = (key, op) == now and at - made < seconds * 1_000_000
+                if not fresh:
+                    now, made = (key, op), at
+                out.append("replay" if fresh else "new")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.string())], names=["key", "op", "seq", "ts", "state"])
+
+    rows = ops.select("key", "op", "seq", "ts", F.unix_micros("ts").alias("at"))
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes[:4])
+    return rows.repartition("key", "op").sortWithinPartitions("key", "op", "at", "seq").mapInArrow(run, f"{schema}, state string")
 
 
 def replay_dedup(stream: DataFrame, key: list[str], ts: str, window: str) -> DataFrame:

@@ -86,7 +86,8 @@ def test_index_checkpoint_is_rebuilt_if_it_is_wrong(spark, tmp_path):
 def test_ingest_publishes_only_what_it_verified(spark, tmp_path):
     tree = spark.createDataFrame([("a", "file", 6, 3, "d", 1), ("b", "file", 6, 3, "d", 1)], "path string, kind string, mode int, size int, digest string, ino int")
     done = []
-    assert logs.ingest(tree, str(tmp_path / "s"), done.append, compare.import_faults) == 2 and len(done) == 1
+    assert logs.ingest(tree, str(tmp_path / "s"), done.append, compare.import_faults) == {"files": 2, "bytes": 6, "new": 1, "stored": 3} and len(done) == 1
+    assert logs.ingest(tree, str(tmp_path / "u"), print, compare.import_faults, known=tree)["new"] == 0
     with pytest.raises(ValueError):
         logs.ingest(tree, str(tmp_path / "t"), done.append, lambda a, b: compare.import_faults(a, b.withColumn("size", F.lit(9))))
     assert len(done) == 1
@@ -112,13 +113,30 @@ def test_snapshots(spark, tmp_path):
     s.remove("done")
     assert set(names()) == {"base", "published"}
     assert {r.name: r.root for r in s.table(old).collect()} == {"base": "r1", "work": "r2"}
-    # an interrupted swap leaves the target as it was
-    s.fork("base", "published.swap~")
+    # an interrupted swap, staged but not yet moved, is rolled forward
+    s.write("base", "r9")
+    staged = s.fork("base", "published.swap~")
     s.recover()
-    assert set(names()) == {"base", "published"}
-    # a version without a commit marker is never read
+    assert names() == {"base": "r9", "published": "r9"} and s.find("published").id == staged
+    # a removed id is never given out again
+    gone = s.create("last")
+    s.remove("last")
+    assert s.create("next") == gone + 1
+    for wrong in ("c/../x", "", ".x", "x.swap~", "y" * 300):
+        with pytest.raises(ValueError):
+            s.create(wrong)
+        with pytest.raises(ValueError):
+            s.rename("next", wrong)
+    # rows without a marker, or with one that is not written yet, are never read
     (tmp_path / "snaps" / "v999999").mkdir()
-    assert set(names()) == {"base", "published"}
+    (tmp_path / "snaps" / "v999998").touch()
+    assert set(names()) == {"base", "published", "next"}
+    # of two writers of one version the second is refused
+    last = s.versions()[-1]
+    s.commit(s.table(), last)
+    with pytest.raises(FileExistsError):
+        s.commit(s.table().limit(0), last)
+    assert set(names()) == {"base", "published", "next"} and s.versions() == sorted(s.versions(), key=lambda v: int(v[1:]))
 
 
 def test_name_keys_in_any_form(spark):
