@@ -46,7 +46,7 @@ from stonefold.llm.common import checkpoint, claim, spread, texts
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
 #: Bytes of text in a block, on average: what a task holds does not grow with the input.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 24 << 20
 #: N-grams that a block holds before it counts them.
 CHUNK_NGRAMS = 1_000_000
 PRIOR_BYTES = 64

@@ -1,23 +1,24 @@
 """License scans by MinHash over text windows, verified by exact shingle containment.
 
 In DataFrame functions only. A template of n word shingles is sought in windows
-of n + stride - 1 shingles that start every `stride` = max(1, n / 4): any run of
-n shingles lies wholly in one. Windows without a single shingle of any template
+of 2 n shingles that start every `stride` = max(1, n / 2): any run of 1.5 n
+shingles lies wholly in one, so a notice may have n / 2 words put in. Windows without a single shingle of any template
 cannot contain one and are left out first (a hash-set test on each shingle,
 nothing is lost). For the others, MinHash bands retrieve templates of their
 size, and the share of the template's shingles that the window holds decides.
 
 A window that contains at least 0.8 of a template has a Jaccard similarity of
-0.8 n / (1.25 n + 0.2 n) = 0.55 or more, so one of 24 bands of 2 rows agrees
-with probability 1 - (1 - 0.55^2)^24 > 0.9998; an exact and aligned copy always
-collides. A notice with words inserted may hold 0.8 in all but in no window, and
-is then not found. The template library is a parameter of at most
+0.8 n / (2 n + 0.2 n) = 0.36 or more, so one of 24 bands of a row agrees with
+probability 1 - (1 - 0.36)^24 > 0.9999. A notice that holds 0.8 in all but is
+spread over more than 1.5 n shingles may do so in no window, and is then not
+found. The template library is a parameter of at most
 `MAX_TEMPLATE_SHINGLES` shingles in all, the proven bound of what is broadcast.
 
 Defined results: a null text is the empty text; texts of fewer words than a
 shingle contain nothing; letters and digits make words, case is ignored; rows
 that repeat a doc_id are one document (null is one, too); of equally good
-windows the first is named; an empty table gives an empty table. Only the id
+windows the first is named; very long texts are scanned whole; a template of
+fewer words than a shingle is an error; an empty table gives an empty table. Only the id
 and text columns are read, so other columns cannot clash.
 """
 
@@ -33,7 +34,7 @@ from stonefold.llm.common import spread
 
 SHINGLE_WORDS = 5
 MIN_CONTAINMENT = 0.8
-BANDS, ROWS = 24, 2
+BANDS, ROWS = 24, 1
 MAX_TEMPLATE_SHINGLES = 50_000
 
 #: License statements and notices as published, by SPDX identifier.
@@ -74,7 +75,7 @@ def library(spark: SparkSession, templates: Iterable[tuple[str, str]]) -> DataFr
     some = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(templates)])
     rows = spark.range(1).select(F.explode(some).alias("t")).select("t.template", "t.license", words(F.col("t.text")).alias("w"))
     rows = rows.select("template", "license", F.array_distinct(shingles("w")).alias("own")).withColumn("n", F.size("own"))
-    return rows.where("n > 0").withColumn("bands", bands("own"))
+    return rows.withColumn("bands", bands("own"))
 
 
 def scan(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,6 +83,8 @@ def scan(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLATES, id_c
     lib = library(docs.sparkSession, tuple(templates))
     # bounded by the library
     known = lib.select("own", "n").collect()
+    if any(r["n"] == 0 for r in known):
+        raise ValueError(f"a template has fewer than {SHINGLE_WORDS} words")
     if sum(r["n"] for r in known) > MAX_TEMPLATE_SHINGLES:
         raise ValueError(f"more than {MAX_TEMPLATE_SHINGLES} template shingles")
     hashes, sizes = sorted({h for r in known for h in r["own"]}), sorted({r["n"] for r in known})
@@ -89,8 +92,7 @@ def scan(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLATES, id_c
     rows = rows.select("doc_id", "s", F.filter(F.transform("s", lambda h, i: F.when(h.isin(hashes), i)), lambda p: p.isNotNull()).alias("hits"))
 
     def windows(n: int) -> str:
-        stride = max(1, n // 4)
-        size = n + stride - 1
+        stride, size = max(1, n // 2), 2 * n
         # windows k that hold the position p: k * stride <= p <= k * stride + size - 1
         ks = f"array_distinct(flatten(transform(hits, p -> sequence(greatest(0, cast(ceil((p - {size - 1}) / {stride}) AS INT)), cast(p DIV {stride} AS INT)))))"
         return f"transform({ks}, k -> named_struct('n', {n}, 'first', k * {stride}, 's', slice(s, k * {stride} + 1, {size})))"
@@ -122,11 +124,11 @@ def _template_rows() -> str:
 
 OP2_SQL = rf"""
 WITH t AS (SELECT DISTINCT * FROM (VALUES {_template_rows()}) AS v(template, license, shingle)),
-n AS (SELECT template, count(*) AS n, greatest(1, count(*) // 4) AS stride FROM t GROUP BY template),
+n AS (SELECT template, count(*) AS n, greatest(1, count(*) // 2) AS stride FROM t GROUP BY template),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda z: z <> '') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5),
 s AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS shingle FROM p),
-h AS (SELECT doc_id, template, license, shingle, unnest(range(greatest(0, CAST(ceil((pos - (n + stride - 2)) / stride) AS BIGINT)), pos // stride + 1)) AS k, n, stride FROM s JOIN t USING (shingle) JOIN n USING (template)),
+h AS (SELECT doc_id, template, license, shingle, unnest(range(greatest(0, CAST(ceil((pos - (2 * n - 1)) / stride) AS BIGINT)), pos // stride + 1)) AS k, n, stride FROM s JOIN t USING (shingle) JOIN n USING (template)),
 c AS (SELECT doc_id, template, license, k * stride AS first_word, count(DISTINCT shingle) / n AS containment FROM h GROUP BY doc_id, template, license, k, stride, n)
 SELECT doc_id, license, round(max(containment), 6) AS containment, arg_max(first_word, struct_pack(c := containment, f := -first_word)) AS first_word, count(*) AS n_windows
 FROM c WHERE containment >= 0.8 GROUP BY doc_id, license

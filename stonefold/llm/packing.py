@@ -26,6 +26,7 @@ text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -44,6 +45,18 @@ END_ID = 1
 #: Words that a Python worker remembers in a generation, of which there are two (some 200 bytes each).
 MEMO_WORDS = 450_000
 
+#: The settings under which a text's ids are those of its words.
+WORD_SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank_in_part long"
 
 
@@ -62,6 +75,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        settings = json.loads(self.library.to_str())
+        for part, value in WORD_SETTINGS.items():
+            if settings[part] != value:
+                raise ValueError(f"{path}: texts cannot be read word by word under its {part} {settings[part]}")
         self.apart = re.compile(rb"(?<=[a-z])(?=[.,!?;:\"#%&$*()])").sub
         #: words of this generation and of the last; a word that is met again is taken over
         self.memo: dict[bytes, bytes] = {}

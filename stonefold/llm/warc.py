@@ -3,8 +3,8 @@
 Writing: a record's payload is compared by its SHA-256; of equal payloads of at
 least `MIN_REVISIT_BYTES` the record with the smallest page id is a response and
 the others are revisits that refer to it. First holders are found by a grouped
-minimum (combined before the shuffle) and joined back by digest, where adaptive
-execution splits a hot digest. A task writes its records, each a gzip member,
+minimum (combined before the shuffle), checkpointed and joined back by digest: a
+join of plain tables, where adaptive execution splits a hot digest. A task writes its records, each a gzip member,
 into archives of bounded size; an archive is a row (path, content) in the shape
 of Spark's binaryFile source, so `read` takes either. Archive rows are written
 to and read from storage through Spark alone and need no local disk.
@@ -42,6 +42,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stonefold.llm.common import checkpoint
+
 #: Payloads below this are always written in full.
 MIN_REVISIT_BYTES = 100
 #: An archive is closed once it holds this many compressed bytes.
@@ -98,7 +100,7 @@ def with_first_holders(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, first (the smallest page id with that payload) and revisit."""
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     first = rows.where(F.octet_length("payload") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", "first")
+    joined = rows.join(checkpoint(first), "digest", "left").select("page_id", "url", "payload", "digest", "first")
     return joined.withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
 
 
@@ -282,7 +284,7 @@ def capture_index(captures: DataFrame) -> DataFrame:
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
-    from stonefold.llm.common import checkpoint, table
+    from stonefold.llm.common import table
 
     archives = checkpoint(write(table(spark, sf_dir, "pages")))
     return capture_index(read(archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp")

@@ -66,3 +66,17 @@ def test_pack_matches_the_library_and_leaves_no_gap(spark):
 
 def test_pack_of_an_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_a_vocabulary_of_other_rules_is_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    from stonefold.llm.packing import WordTokenizer
+
+    settings = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    settings["normalizer"]["normalizers"].pop()
+    (tmp_path / "other.json").write_text(json.dumps(settings))
+    with pytest.raises(ValueError):
+        WordTokenizer(str(tmp_path / "other.json"))
