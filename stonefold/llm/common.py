@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the files of shuffles and checkpoints that nothing refers to any more.
+
+    Spark's cleaner does so when the driver's garbage is collected, which on a
+    large heap may be hours after a loop has left them; so collect it now.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores if it reads a few small files, which may be a single row group and so a single task.
 

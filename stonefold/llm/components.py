@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonefold.llm.common import checkpoint
+from stonefold.llm.common import checkpoint, release
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -39,6 +39,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         sign = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if not sign[0] or sign == before:
+            release(edges.sparkSession)
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = sign
         now = checkpoint(_small_star(_large_star(now)))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stonefold.llm import simhash
-from stonefold.llm.common import checkpoint, claim, spread, texts
+from stonefold.llm.common import checkpoint, claim, release, spread, texts
 from stonefold.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -169,13 +169,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
     grouped = simhash.near_duplicates(rows, keep=("v",)).select("doc_id", "v", F.xxhash64(F.lit("simhash"), "component_id").alias("band"))
     signed = checkpoint(signatures(rows).union(grouped))
     own = F.xxhash64("doc_id", "v")
-    groups = signed.groupBy("band").agg(F.count("*").alias("n"), F.sum(own.cast("decimal(20,0)")).alias("sum"), F.bit_xor(own).alias("xor"), F.min(F.struct("doc_id", "v")).alias("least"), F.max("doc_id").alias("most"))
     # joins by band are of plain tables, so that adaptive execution can split a hot one
-    groups = checkpoint(groups.where("least.doc_id < most").groupBy("n", "sum", "xor").agg(F.min(F.struct("band", "least")).alias("g")).select("g.band", "g.least"))
-    members = checkpoint(signed.join(groups, "band").select("band", "doc_id", "v", "least").distinct())
+    shared = checkpoint(signed.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("band"))
+    signed = checkpoint(signed.join(shared, "band").distinct())
+    groups = signed.groupBy("band").agg(F.count("*").alias("n"), F.sum(own.cast("decimal(20,0)")).alias("sum"), F.bit_xor(own).alias("xor"), F.min(F.struct("doc_id", "v")).alias("least"))
+    groups = checkpoint(groups.groupBy("n", "sum", "xor").agg(F.min(F.struct("band", "least")).alias("g")).select("g.band", "g.least"))
+    members = checkpoint(signed.join(groups, "band").select("band", "doc_id", "v", "least"))
+    del grouped, signed, shared, groups
+    release(docs.sparkSession)
     sets = checkpoint(shingle_sets(rows, members.select("doc_id", "v").distinct()))
+    release(docs.sparkSession)
     pairs = members.where("doc_id <> least.doc_id").select(F.col("least.doc_id").alias("a"), F.col("least.v").alias("av"), F.col("doc_id").alias("b"), F.col("v").alias("bv")).distinct()
     roots = checkpoint(connected_components(verified(checkpoint(pairs), sets)))
+    del pairs
 
     now = rooted(members.select("band", "doc_id", "v").join(sets.select("doc_id", "v", F.size("set").alias("size")), ["doc_id", "v"]), roots)
     of_root = now.groupBy("band", "root").agg(F.sum(F.col("size") + 1).alias("size"))
@@ -183,6 +189,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     pieces = lambda size, chunk: F.ceil(size / chunk).cast("int")
     open_bands = checkpoint(open_bands.select("band", "largest", pieces(F.col("all") - F.col("most"), REST_CHUNK).alias("n_i"), pieces(F.col("all"), ALL_CHUNK).alias("n_j")))
     left = checkpoint(now.join(open_bands, "band"))
+    del members, now, of_root, open_bands
+    release(docs.sparkSession)
     dealt = F.xxhash64("doc_id", "v")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rest = left.where("root <> largest").select("band", F.pmod(dealt, "n_i").cast("int").alias("i"), every("n_j").alias("j"), F.lit(True).alias("rest"), "doc_id", "root", "v")
