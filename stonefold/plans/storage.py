@@ -189,11 +189,11 @@ def compaction_copy(spark, d):
     return store.copy_batches(chunks.join(live(spark, d).withColumnRenamed("id", "block"), "block", "left_semi"), 1000)
 
 
-@query(", c AS (SELECT DISTINCT pack, block FROM chunks WHERE block NOT IN (SELECT block FROM chunks JOIN inodes ON file = ino WHERE kind = 'O')), l AS (SELECT DISTINCT block AS id FROM chunks JOIN inodes ON file = ino WHERE kind = 'P') SELECT pack, count(*) AS condemned, count(id) AS revived, count(id) = 0 AS discard FROM c LEFT JOIN l ON block = id GROUP BY pack", "chunks", "inodes")
+@query(", c AS (SELECT DISTINCT pack, block FROM chunks WHERE block NOT IN (SELECT block FROM chunks JOIN inodes ON file = ino WHERE kind = 'P' AND ino % 2 = 0)), l AS (SELECT DISTINCT block AS id FROM chunks JOIN inodes ON file = ino WHERE kind = 'P') SELECT pack, count(*) AS condemned, count(id) AS revived, count(id) = 0 AS discard FROM c LEFT JOIN l ON block = id GROUP BY pack", "chunks", "inodes")
 def compaction_discard(spark, d):
-    """Packs that may be unlinked, as no condemned id became live (2.10.20)."""
+    """Packs that may be unlinked, as no condemned id became live (2.10.20): condemned is what the even files of one kind did not refer to."""
     some = sql("SELECT DISTINCT block AS id FROM {c} JOIN {i} ON file = ino WHERE kind = 'P'", c=view(spark, d, "chunks"), i=view(spark, d, "inodes"))
-    before = sql("SELECT DISTINCT block FROM {c} JOIN {i} ON file = ino WHERE kind = 'O'", c=view(spark, d, "chunks"), i=view(spark, d, "inodes"))
+    before = sql("SELECT DISTINCT block FROM {c} JOIN {i} ON file = ino WHERE kind = 'P' AND ino % 2 = 0", c=view(spark, d, "chunks"), i=view(spark, d, "inodes"))
     return store.discardable(view(spark, d, "chunks").join(before, "block", "left_anti").select("pack", "block").distinct(), some)
 
 
