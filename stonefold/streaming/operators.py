@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,6 +52,121 @@ def replayed(ops: DataFrame, seconds: int) -> DataFrame:
     return rows.repartition("key", "op").sortWithinPartitions("key", "op", "at", "seq").mapInArrow(run, f"{schema}, state string")
 
 
+class ReplyCache:
+    """One client's calls under way and answered: first in, first out, bounded by age, number and bytes of replies.
+
+    The age of an entry counts from its call, and again from its reply. An equal
+    call of another connection is a retransmission only while the connection
+    that made the first one has sent nothing later.
+    """
+
+    def __init__(self, age: int, entries: int, size: int):
+        self.age, self.entries, self.size = age, entries, size
+        self.held: OrderedDict[tuple, list] = OrderedDict()  # (conn, xid, print): [answered, at, bytes]
+        self.first: dict[tuple, tuple] = {}  # (xid, print): the entry of whichever connection made it
+        self.newest: dict[int, int] = {}
+        self.calls: dict[int, int] = {}
+        self.bytes = 0
+
+    def forget(self, key: tuple) -> None:
+        _, _, size = self.held.pop(key)
+        self.bytes -= size
+        if self.first.get(key[1:]) == key:
+            del self.first[key[1:]]
+        self.calls[key[0]] -= 1
+        if not self.calls[key[0]]:
+            del self.calls[key[0]]
+            self.newest.pop(key[0], None)
+
+    def trim(self, now: int) -> None:
+        while self.held:
+            key = next(iter(self.held))
+            if now - self.held[key][1] < self.age and len(self.held) <= self.entries and self.bytes <= self.size:
+                return
+            self.forget(key)
+
+    def call(self, key: tuple, now: int) -> str:
+        self.trim(now)
+        conn, xid, _ = key
+        found = self.held.get(key)
+        other = self.first.get(key[1:])
+        if found is None and other is not None and self.newest.get(other[0], xid) <= xid:
+            found = self.held[other]
+        if found is None:
+            self.held[key] = [False, now, 0]
+            self.first[key[1:]] = key
+            self.calls[conn] = self.calls.get(conn, 0) + 1
+        if conn in self.calls:
+            self.newest[conn] = max(xid, self.newest.get(conn, xid))
+        return "new" if found is None else "replay" if found[0] else "in_progress"
+
+    def reply(self, key: tuple, size: int | None, now: int) -> None:
+        """The call's reply of so many bytes; None: it made none, and is forgotten."""
+        if key in self.held:
+            if size is None:
+                self.forget(key)
+            else:
+                self.bytes += size - self.held[key][2]
+                self.held[key] = [True, now, size]
+        self.trim(now)
+
+
+def reply_cache(events: DataFrame, seconds: int, entries: int, size: int) -> DataFrame:
+    """Each call (client, conn, xid, print, size, ts, seq; kind `call`) as new, in_progress or replay; `reply` ends it, with no size as if it had not been.
+
+    A client's events are read in order by one task, in the memory that the
+    bounds allow; clients do not push each other's entries out.
+    """
+    rows = events.select("client", "conn", "xid", "print", "kind", "size", F.unix_micros("ts").alias("at"), "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, cache = None, None
+        for batch in batches:
+            seqs, states = [], []
+            for who, conn, xid, mark, kind, n, at, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cache is None or who != client:
+                    client, cache = who, ReplyCache(seconds * 1_000_000, entries, size)
+                if kind == "call":
+                    seqs.append(seq)
+                    states.append(cache.call((conn, xid, mark), at))
+                else:
+                    cache.reply((conn, xid, mark), n, at)
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(states, pa.string())], names=["seq", "state"])
+
+    return rows.repartition("client").sortWithinPartitions("client", "at", "seq").mapInArrow(run, "seq long, state string")
+
+
+def commit_batches(ops: DataFrame, tick_ms: int, age_ms: int, most: int, dirty: int) -> DataFrame:
+    """Operations (key, seq, ts, size) with the number of the commit of their queue that takes them.
+
+    At each tick a queue is committed whose oldest operation is old enough or
+    that holds `most` operations; its writer commits it at once when it holds
+    more than `dirty` bytes. An operation at the very time of a tick comes after it.
+    """
+    rows = ops.select("key", "seq", F.unix_micros("ts").alias("at"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    tick, age = tick_ms * 1000, age_ms * 1000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, oldest, last, n, held, begun = None, 0, 0, 0, 0, 0, False
+        for batch in batches:
+            out = []
+            for key, at, size in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if not begun or key != now:
+                    now, number, n, held, begun = key, 0, 0, 0, True
+                elif n and -(-(last if n >= most else oldest + age) // tick) * tick <= at:
+                    number, n, held = number + 1, 0, 0
+                if not n:
+                    oldest = at
+                last, n, held = at, n + 1, held + size
+                out.append(number)
+                if held > dirty:
+                    number, n, held = number + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["key", "seq", "batch"])
+
+    kinds = dict(rows.dtypes)
+    return rows.repartition("key").sortWithinPartitions("key", "at", "seq").mapInArrow(run, f"key {kinds['key']}, seq {kinds['seq']}, batch long")
+
+
 def replay_dedup(stream: DataFrame, key: list[str], ts: str, window: str) -> DataFrame:
     """Streaming duplicate-request cache: equal requests within the watermark are answered once; state goes with it."""
     return stream.withWatermark(ts, window).dropDuplicatesWithinWatermark(key)

@@ -143,3 +143,40 @@ def test_name_keys_in_any_form(spark):
     df = spark.createDataFrame([("É",), ("é",), ("X" * 300,), (None,)], "name string")
     keys = [r.k for r in df.select(paths.name_key_any(F.col("name")).alias("k")).collect()]
     assert keys[0] == keys[1] == "é" and keys[2].startswith("#") and keys[3] is None
+
+
+def test_a_run_is_resumed_by_what_its_meta_row_says(spark, tmp_path):
+    folder, want = str(tmp_path / "runs"), {"root": "/r", "counts": {"a": 1}, "corpus_sha": "x", "gates": ["g"], "host": "h"}
+    first = logs.open_run(spark, folder, "gates", want, True)
+    second = logs.open_run(spark, folder, "gates", want, False)
+    assert first != second and logs.open_run(spark, folder, "gates", want | {"host": "other"}, True) == second
+    rows = spark.createDataFrame([("rep", 1)], "kind string, rep int")
+    assert logs.append_new(rows, second, ["rep"]) == 1 and logs.append_new(rows, second, ["rep"]) == 0
+    assert logs.open_run(spark, folder, "gates", want, True) == second
+    assert logs.open_run(spark, folder, "gates", want | {"gates": []}, True) not in (first, second)
+    assert logs.open_run(spark, folder, "other", want, True) not in (first, second)
+
+
+def test_corpus_checkpoints(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    assert logs.load_corpus(spark, path, ["a"]) is None
+    for n in (2, 3):
+        logs.save_corpus({"chunks": spark.range(n), "files": spark.range(0)}, ["a"], path)
+    found = logs.load_corpus(spark, path, ["a"])
+    assert (found["chunks"].count(), found["files"].count()) == (3, 0)
+    with pytest.raises(ValueError):
+        logs.load_corpus(spark, path, ["a", "b"])
+    folder = found["chunks"].inputFiles()[0].rsplit("/", 1)[0]
+    spark.range(7).write.mode("overwrite").parquet(folder)
+    with pytest.raises(ValueError):
+        logs.load_corpus(spark, path, ["a"])
+
+
+def test_an_ingest_reports_progress_and_can_be_stopped(spark, tmp_path):
+    tree = spark.createDataFrame([(f"f{i}", "file", 6, 3, f"d{i}", 1) for i in range(9)], "path string, kind string, mode int, size int, digest string, ino int")
+    seen, published = [], []
+    assert logs.ingest(tree, str(tmp_path / "s"), published.append, compare.import_faults, progress=lambda *x: not seen.append(x), steps=3)["files"] == 9
+    assert seen[0] == (0, 27) and seen[-1] == (27, 27) and seen == sorted(seen)
+    with pytest.raises(logs.Stopped):
+        logs.ingest(tree, str(tmp_path / "t"), published.append, compare.import_faults, progress=lambda done, total: done == 0, steps=3)
+    assert len(published) == 1

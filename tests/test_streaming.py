@@ -63,3 +63,37 @@ def test_access_times(spark, tmp_path):
 def test_batch_and_stream_elide_alike(spark):
     df = spark.createDataFrame(ops([(0, 1, "create"), (1, 1, "unlink"), (2, 2, "create")]), SCHEMA)
     assert [r.key for r in s.elided(df, "create", "unlink").select(F.col("key")).collect()] == [2]
+
+
+def cached(spark, rows, **bounds):
+    """States of the calls among rows (second, conn, xid, kind, size) of one client."""
+    events = [(1, c, x, "p", k, n, T0 + timedelta(seconds=t), i) for i, (t, c, x, k, n) in enumerate(rows)]
+    df = spark.createDataFrame(events, "client long, conn long, xid long, print string, kind string, size long, ts timestamp, seq long")
+    found = s.reply_cache(df, bounds.get("seconds", 60), bounds.get("entries", 9), bounds.get("size", 99))
+    return [r.state for r in sorted(found.collect(), key=lambda r: r.seq)]
+
+
+def test_calls_under_way_answered_and_forgotten(spark):
+    call, reply = (lambda t, x, c=1: (t, c, x, "call", None)), (lambda t, x, n=1, c=1: (t, c, x, "reply", n))
+    assert cached(spark, [call(0, 1), call(1, 1), reply(2, 1), call(3, 1)]) == ["new", "in_progress", "replay"]
+    assert cached(spark, [call(0, 1), reply(1, 1, None), call(2, 1)]) == ["new", "new"]
+    # the age counts from the reply, and replays do not renew it
+    assert cached(spark, [call(0, 1), reply(50, 1), call(100, 1), call(110, 1)]) == ["new", "replay", "new"]
+    # first in, first out, by number and by bytes
+    assert cached(spark, [call(0, 1), reply(0, 1), call(1, 2), reply(1, 2), call(2, 1), call(2, 2)], entries=1) == ["new", "new", "new", "new"]
+    assert cached(spark, [call(0, 1), reply(0, 1, 60), call(1, 2), reply(1, 2, 60), call(2, 2), call(2, 1)]) == ["new", "new", "replay", "new"]
+    # another connection repeats a call only until the first one moves on
+    assert cached(spark, [call(0, 1), reply(1, 1), call(2, 1, 2)]) == ["new", "replay"]
+    assert cached(spark, [call(0, 1), reply(1, 1), call(2, 2), call(3, 1, 2)]) == ["new", "new", "new"]
+
+
+def test_commits_by_age_number_and_bytes(spark):
+    def batches(rows, **bounds):
+        df = spark.createDataFrame([(1, i, T0 + timedelta(milliseconds=t), n) for i, (t, n) in enumerate(rows)], "key long, seq long, ts timestamp, size long")
+        found = s.commit_batches(df, 250, 500, bounds.get("most", 9), bounds.get("dirty", 99))
+        return [r.batch for r in sorted(found.collect(), key=lambda r: r.seq)]
+
+    assert batches([(10, 1), (500, 1), (749, 1), (750, 1)]) == [0, 0, 0, 1]
+    assert batches([(10, 1), (20, 1), (240, 1), (250, 1)], most=3) == [0, 0, 0, 1]
+    assert batches([(10, 60), (20, 60), (30, None)]) == [0, 0, 1]
+    assert batches([]) == []
