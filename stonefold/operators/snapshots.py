@@ -11,12 +11,14 @@ Spark's own file system layer; it must create files exclusively.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stonefold.functions.paths import snapshot_name_fault
 from stonefold.operators import graph
+from stonefold.sources.logs import ingest
 
 COLUMNS = "id long, name string, root string, parent long"
 #: End of the name of a clone that a swap has staged; no other name may have it.
@@ -165,3 +167,22 @@ class Snapshots:
         rows = self.table()
         up = graph.ancestry(rows.select(F.col("id").alias("pid"), F.col("parent").alias("ppid")), self._existing(name)["id"])
         return up.join(rows, F.col("pid") == F.col("id")).select("id", "name", "depth")
+
+
+def refresh_base(snaps: Snapshots, base: str, source: DataFrame, folder: str, provenance: dict[str, str], faults: Callable[[DataFrame, DataFrame], DataFrame], known: DataFrame | None = None) -> dict[str, int]:
+    """Ingest a checkout into a folder of its own and make it the root of the base; what had the name goes in the same version.
+
+    The provenance (revision, origin and the like) stands beside the tree before
+    the base is replaced, so no published base is without one. A fault of the
+    staged tree leaves the base as it was.
+    """
+
+    def publish(staged: str) -> None:
+        row = snaps.spark.createDataFrame([(staged, k, v) for k, v in sorted(provenance.items())], "root string, name string, value string")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{staged}.provenance")
+        snaps.recover()
+        snaps._new(base + STAGED, staged, None)
+        snaps.replace(base + STAGED, base)
+
+    snaps._check(base)
+    return ingest(source, folder, publish, faults, known)

@@ -661,6 +661,35 @@ def replay_dedup(spark, d):
     return streams.replayed(view(spark, d, "oplog"), 86400).drop("ts")
 
 
+#: Step by step over each queue's operations: the commit of each (batch), that of the next (number) and what waits after it.
+COMMITS = ", o AS (SELECT key, seq, epoch_us(ts) AS t, seq % 10 AS size, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS i FROM oplog), walk AS (SELECT key, seq, i, CAST(0 AS BIGINT) AS batch, CAST(CASE WHEN size > 25 THEN 1 ELSE 0 END AS BIGINT) AS number, CAST(CASE WHEN size > 25 THEN 0 ELSE 1 END AS BIGINT) AS n, CAST(CASE WHEN size > 25 THEN 0 ELSE size END AS BIGINT) AS held, t AS oldest, t AS last FROM o WHERE i = 1 UNION ALL SELECT key, seq, i, batch, batch + CASE WHEN held > 25 THEN 1 ELSE 0 END, CASE WHEN held > 25 THEN 0 ELSE n END, CASE WHEN held > 25 THEN 0 ELSE held END, oldest, last FROM (SELECT key, seq, i, number + CASE WHEN due THEN 1 ELSE 0 END AS batch, CASE WHEN due THEN 1 ELSE n + 1 END AS n, CASE WHEN due THEN size ELSE held + size END AS held, CASE WHEN due OR n = 0 THEN t ELSE oldest END AS oldest, t AS last FROM (SELECT o.key, o.seq, o.i, o.t, o.size, w.number, w.n, w.held, w.oldest, w.n > 0 AND (CASE WHEN w.n >= 4 THEN w.last ELSE w.oldest + 43200000000 END + 21599999999) // 21600000000 * 21600000000 <= o.t AS due FROM walk w JOIN o ON o.key = w.key AND o.i = w.i + 1)))"
+
+
+@query(COMMITS + " SELECT key, seq, batch FROM walk", "oplog")
+def flush_batches(spark, d):
+    """The commit that takes each operation: by age, number or bytes (2.11.1, 2.11.5)."""
+    return streams.commit_batches(view(spark, d, "oplog").withColumn("size", F.expr("seq % 10")), 21_600_000, 43_200_000, 4, 25)
+
+
+@query()
+def reply_states(spark, d):
+    """Calls as new, under way or replayed, in a cache bounded by age, number and bytes (2.11.6, 2.11.7)."""
+    calls = sql("SELECT key % 20 AS client, key AS conn, CAST(floor(value) AS BIGINT) AS xid, op AS print, ts, seq FROM {o}", o=view(spark, d, "oplog"))
+    both = sql(
+        """SELECT client, conn, xid, print, 'call' AS kind, CAST(NULL AS BIGINT) AS size, ts, seq * 2 AS seq FROM {c}
+           UNION ALL SELECT client, conn, xid, print, 'reply', CASE WHEN print <> 'error' THEN 100 + seq % 50 END, ts + INTERVAL 1 HOUR, seq * 2 + 1 FROM {c}""",
+        c=calls,
+    )
+    return streams.reply_cache(both, 10 * 86400, 64, 8192).select((F.col("seq") / 2).cast("long").alias("seq"), "state")
+
+
+@query(" SELECT id, CASE WHEN id % 3 = 0 THEN 'got <name>, expected 0' WHEN id % 3 = 1 THEN 'open <name>/<name> 0644' ELSE 'no name' END AS text FROM blocks", "blocks")
+def normalised_texts(spark, d):
+    """Assertion texts without the names made for one run (2.9.10)."""
+    text = "CASE WHEN id % 3 = 0 THEN concat(' got pjdfstest_', substr(sha2(CAST(id AS STRING), 256), 1, 12), ', expected 0') WHEN id % 3 = 1 THEN concat('open pjdfstest_', sha2(CAST(id AS STRING), 256), '/pjdfstest_0123456 0644 ') ELSE 'no name' END"
+    return view(spark, d, "blocks").select("id", scalars.normalised_text(F.expr(text)).alias("text"))
+
+
 @query(" SELECT CAST(floor(epoch(ts)) AS BIGINT) // 3600 * 3600 AS start, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi FROM oplog GROUP BY 1", "oplog")
 def sample_windows(spark, d):
     """Tumbling windows of samples (2.11.11)."""

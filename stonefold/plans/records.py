@@ -72,6 +72,31 @@ def pack_scan(spark, d):
     return packs.scan(packs.write(blocks)).select("id", "ulen", (F.col("kind") == "record").alias("sound"))
 
 
+@query(", u AS (SELECT DISTINCT content FROM files) SELECT sha256(content) AS id, CAST(octet_length(encode(content)) AS BIGINT) AS ulen, true AS sound FROM u", "files")
+def pack_deep_scan(spark, d):
+    """The same with every record's content read and hashed (2.1.6)."""
+    blocks = view(spark, d, "files").select("content").distinct()
+    return packs.scan(packs.write(blocks), deep=True).select("id", "ulen", (F.col("kind") == "record").alias("sound"))
+
+
+@query(", u AS (SELECT DISTINCT content FROM files) SELECT sha256(content) AS id, CAST(octet_length(encode(content)) AS BIGINT) AS ulen FROM u", "files")
+def index_checkpoint(spark, d):
+    """An index saved and loaded by its check sum; a wrong one would give no rows (2.1.11, 2.1.12)."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    entries = packs.scan(packs.write(view(spark, d, "files").select("content").distinct())).select("id", "ulen")
+    logs.save_index(entries, path)
+    return logs.load_index(spark, path, lambda: spark.createDataFrame([], entries.schema))
+
+
+@query(" SELECT 'chunks' AS part, count(*) AS n, CAST(sum(len) AS BIGINT) AS size FROM chunks UNION ALL SELECT 'inodes', count(*), CAST(sum(ino) AS BIGINT) FROM inodes", "chunks", "inodes")
+def corpus_checkpoint(spark, d):
+    """Maps saved under one header and resumed for the same pools (2.1.21)."""
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    logs.save_corpus({"chunks": view(spark, d, "chunks").select("len"), "inodes": view(spark, d, "inodes").select("ino")}, ["main"], path)
+    maps = logs.load_corpus(spark, path, ["main"])
+    return sql("SELECT 'chunks' AS part, count(*) AS n, sum(len) AS size FROM {c} UNION ALL SELECT 'inodes', count(*), sum(ino) FROM {i}", c=maps["chunks"], i=maps["inodes"])
+
+
 @query(", u AS (SELECT DISTINCT sha256(content) AS id FROM files) SELECT CASE WHEN substr(id, 1, 1) IN ('0', '1') THEN 'added' WHEN substr(id, 1, 1) = '2' THEN 'replaced' ELSE 'known' END AS outcome, count(*) AS n FROM u GROUP BY 1", "files")
 def pack_salvage(spark, d):
     """What a rescan adds to or replaces in an index (2.1.7)."""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stonefold.functions import paths
 from stonefold.operators import compare
-from stonefold.operators.snapshots import Snapshots
+from stonefold.operators.snapshots import Snapshots, refresh_base
 from stonefold.sources import logs, packs, store_source, walk
 
 
@@ -180,3 +180,16 @@ def test_an_ingest_reports_progress_and_can_be_stopped(spark, tmp_path):
     with pytest.raises(logs.Stopped):
         logs.ingest(tree, str(tmp_path / "t"), published.append, compare.import_faults, progress=lambda done, total: done == 0, steps=3)
     assert len(published) == 1
+
+
+def test_a_base_is_refreshed_with_its_provenance(spark, tmp_path):
+    tree = spark.createDataFrame([("a", "file", 6, 3, "d", 1)], "path string, kind string, mode int, size int, digest string, ino int")
+    snaps = Snapshots(spark, str(tmp_path / "base"))
+    roots = lambda: {r.name: r.root for r in snaps.table().collect()}
+    for folder in (str(tmp_path / "t1"), str(tmp_path / "t2")):
+        assert refresh_base(snaps, "main", tree, folder, {"revision": "abc"}, compare.import_faults)["files"] == 1
+        assert roots() == {"main": folder}
+        assert [r.value for r in spark.read.parquet(f"{folder}.provenance").collect()] == ["abc"]
+    with pytest.raises(ValueError):
+        refresh_base(snaps, "main", tree, str(tmp_path / "t3"), {}, lambda a, b: compare.import_faults(a, b.withColumn("size", F.lit(9))))
+    assert roots() == {"main": folder}
