@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stonefold.operators import graph
 from stonefold.operators.base import sql
+from stonefold.operators.order import running
 
 #: Error numbers of Linux.
 ERRNO = {
@@ -80,12 +81,18 @@ def space(used: DataFrame, capacity: int, block: int) -> DataFrame:
 
 def children(entries: DataFrame, inodes: DataFrame, requests: DataFrame) -> DataFrame:
     """New children (dir, name, kind, mode, target) as entries, numbered after the largest inode and each directory's largest cookie; taken names are errors."""
-    return sql(
-        """SELECT r.dir, r.name, r.kind, r.mode, r.target, CASE WHEN e.name IS NULL THEN (SELECT coalesce(max(ino), 0) FROM {i}) + row_number() OVER (ORDER BY e.name IS NOT NULL, r.dir, r.name) END AS child,
-             CASE WHEN e.name IS NULL THEN coalesce(c.last, 0) + row_number() OVER (PARTITION BY r.dir ORDER BY e.name IS NOT NULL, r.name) END AS cookie, CASE WHEN e.name IS NOT NULL THEN 'Exists' END AS error
+    asked = sql(
+        """SELECT r.dir, r.name, r.kind, r.mode, r.target, coalesce(c.last, 0) AS last, e.name IS NOT NULL AS taken
            FROM {r} r LEFT JOIN {e} e ON r.dir = e.dir AND r.name = e.name LEFT JOIN (SELECT dir, max(cookie) AS last FROM {e} GROUP BY dir) c ON r.dir = c.dir""",
         r=requests,
         e=entries,
+    )
+    return sql(
+        """SELECT f.dir, name, kind, mode, target, (SELECT coalesce(max(ino), 0) FROM {i}) + place AS child, last + place - first + 1 AS cookie, CAST(NULL AS STRING) AS error
+             FROM {f} f JOIN (SELECT dir, min(place) AS first FROM {f} GROUP BY dir) d ON f.dir = d.dir
+           UNION ALL SELECT dir, name, kind, mode, target, NULL, NULL, 'Exists' FROM {a} WHERE taken""",
+        f=running(asked.where("NOT taken"), [F.col("dir"), F.col("name")]),
+        a=asked,
         i=inodes,
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stonefold.operators.base import sql
+from stonefold.operators.order import running
 
 
 def medians(reps: DataFrame, by: str, value: str = "value") -> DataFrame:
@@ -22,8 +23,8 @@ def peak_or_unknown(samples: DataFrame, by: str, value: str = "value") -> DataFr
 
 def positional_ratios(a: DataFrame, b: DataFrame, order: str, value: str = "value") -> DataFrame:
     """b over a, paired by position; zero denominators are dropped."""
-    one = lambda t: f"(SELECT row_number() OVER (ORDER BY {order}) AS rep, CAST({value} AS DOUBLE) AS v FROM {{{t}}})"
-    return sql(f"SELECT a.rep, b.v / a.v AS ratio FROM {one('a')} a JOIN {one('b')} b USING (rep) WHERE a.v <> 0", a=a, b=b)
+    one = lambda rows: running(rows.selectExpr(order, f"CAST({value} AS DOUBLE) AS v"), [F.col(order)])
+    return sql("SELECT a.place AS rep, b.v / a.v AS ratio FROM {a} a JOIN {b} b ON a.place = b.place WHERE a.v <> 0", a=one(a), b=one(b))
 
 
 def nearest_rank_p95(rows: DataFrame, by: str, value: str = "value") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stonefold.operators.base import sql
+from stonefold.operators.order import running
 
 DEAD_RATIO, DEAD_BYTES = 0.5, 8 << 20
 
@@ -56,14 +57,9 @@ def candidates(plan: DataFrame, freeze_pack: int | None, ratio: float = DEAD_RAT
 
 def within_budget(cands: DataFrame, cold: DataFrame, budget: int) -> DataFrame:
     """Candidates in order (coldest first, most dead bytes, pack) while what was copied before is under the budget."""
-    return sql(
-        f"""SELECT pack, place, live_bytes, dead_bytes FROM (
-              SELECT pack, live_bytes, dead_bytes, row_number() OVER (ORDER BY cold, dead_bytes DESC, pack) AS place,
-                coalesce(sum(live_bytes) OVER (ORDER BY cold, dead_bytes DESC, pack ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS copied
-              FROM (SELECT c.*, coalesce(d.coldness, 0) AS cold FROM {{c}} c LEFT JOIN {{d}} d ON c.pack = d.pack)) WHERE copied < {budget}""",
-        c=cands,
-        d=cold,
-    )
+    rows = sql("SELECT c.pack, live_bytes, dead_bytes, coalesce(d.coldness, 0) AS cold FROM {c} c LEFT JOIN {d} d ON c.pack = d.pack", c=cands, d=cold)
+    placed = running(rows, [F.col("cold"), F.col("dead_bytes").desc(), F.col("pack")], sums={"copied": "live_bytes"})
+    return placed.where(F.col("copied") < budget).select("pack", "place", "live_bytes", "dead_bytes")
 
 
 def net_reclaimed(plan: DataFrame) -> DataFrame:

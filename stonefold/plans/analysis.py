@@ -217,7 +217,7 @@ def peak_load(spark, d):
 def rep_ratios_by_position(spark, d):
     """Ratios of repetitions paired by position (2.4.11)."""
     o = view(spark, d, "oplog")
-    return stats.positional_ratios(o.where("op = 'error'"), o.where("op = 'signup'"), "seq").withColumn("ratio", F.round("ratio", 6))
+    return stats.positional_ratios(o.where("op = 'error'"), o.where("op = 'signup'"), "seq").select(F.col("rep").cast("int").alias("rep"), F.round("ratio", 6).alias("ratio"))
 
 
 @query(" SELECT op, list_sort(list(value))[least(count(*) - 1, (95 * count(*)) // 100) + 1] AS p95 FROM oplog GROUP BY op", "oplog")

@@ -142,7 +142,7 @@ def gc_candidates(spark, d):
 def gc_budget(spark, d):
     """Candidates in order of coldness and dead bytes, within the copy budget (2.6.2)."""
     chunks = view(spark, d, "chunks")
-    return store.within_budget(store.candidates(store.pack_plan(chunks, live(spark, d)), FREEZE, RATIO, DEAD), store.coldness(chunks, accesses(spark, d)), BUDGET)
+    return store.within_budget(store.candidates(store.pack_plan(chunks, live(spark, d)), FREEZE, RATIO, DEAD), store.coldness(chunks, accesses(spark, d)), BUDGET).withColumn("place", F.col("place").cast("int"))
 
 
 @query(PLAN + ACCESS + f", c AS (SELECT planned.*, coldness FROM planned JOIN cold USING (pack) WHERE pack < {FREEZE} AND dead_ratio >= {RATIO} AND dead_bytes >= {DEAD}), r AS (SELECT *, coalesce(sum(live_bytes) OVER (ORDER BY coldness, dead_bytes DESC, pack ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM c) SELECT (SELECT count(*) FROM planned) AS packs, (SELECT count(*) FROM c) AS candidates, count(*) AS rewritten, CAST(coalesce(sum(live_bytes), 0) AS BIGINT) AS copied, CAST(coalesce(sum(dead_bytes), 0) AS BIGINT) AS reclaimed, CAST(coalesce(sum(dead_bytes), 0) - coalesce(sum(live_bytes), 0) AS BIGINT) AS net FROM r WHERE done < {BUDGET}", "chunks", "inodes", "oplog")

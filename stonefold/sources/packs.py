@@ -114,4 +114,4 @@ def salvage(scanned: DataFrame, index: DataFrame) -> DataFrame:
 
 def listing(files: DataFrame) -> DataFrame:
     """Packs of a file listing (path, length) by id; other names are left out, the last is active."""
-    return sql("SELECT id, len, id = max(id) OVER () AS active FROM (SELECT try_cast(regexp_extract(path, r'pack-(\\d+)\\.log$', 1) AS BIGINT) AS id, length AS len FROM {f} WHERE path RLIKE r'pack-\\d+\\.log$') ORDER BY id", f=files)
+    return sql("WITH p AS (SELECT try_cast(regexp_extract(path, r'pack-(\\d+)\\.log$', 1) AS BIGINT) AS id, length AS len FROM {f} WHERE path RLIKE r'pack-\\d+\\.log$') SELECT id, len, id = (SELECT max(id) FROM p) AS active FROM p ORDER BY id", f=files)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from stonefold.operators.base import sql
+from stonefold.operators.order import running
 
 
 def coalesced(ops: DataFrame) -> DataFrame:
@@ -180,8 +181,9 @@ def sampled(samples: DataFrame, seconds: int) -> DataFrame:
 def quiet_windows(samples: DataFrame, seconds: int, baseline_windows: int, factor: float) -> DataFrame:
     """Windows after the first few, each against the nearest-rank p95 of all samples of those: quiet if its largest value is within the factor."""
     w = sql(f"SELECT unix_seconds(ts) DIV {seconds} AS w, value FROM {{s}}", s=samples)
-    base = sql(f"SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM {{w}} WHERE w < (SELECT min(w) FROM {{w}}) + {baseline_windows}", w=w)
-    limit = base.where("i = least(n - 1, (95 * n) DIV 100)").select(F.col("value").alias("limit"))
+    base = sql(f"SELECT value, count(*) AS n FROM {{w}} WHERE w < (SELECT min(w) FROM {{w}}) + {baseline_windows} GROUP BY value", w=w)
+    placed = running(base, [F.col("value")], sums={"i": "n"})
+    limit = sql("SELECT value AS limit FROM {p} JOIN (SELECT sum(n) AS total FROM {p}) WHERE least(total - 1, (95 * total) DIV 100) BETWEEN i AND i + n - 1", p=placed)
     return sql(f"SELECT w * {seconds} AS start, count(*) AS n, max(value) AS hi, max(value) <= {factor} * (SELECT max(limit) FROM {{l}}) AS quiet FROM {{w}} WHERE w >= (SELECT min(w) FROM {{w}}) + {baseline_windows} GROUP BY w", w=w, l=limit)
 
 
@@ -200,7 +202,7 @@ def access_times(stream: DataFrame) -> DataFrame:
 
 def watermark_of(marks: DataFrame) -> DataFrame:
     """The durable high-water mark (pack, len), which never falls: each row's largest mark so far."""
-    return sql("SELECT seq, w.pack, w.len FROM (SELECT seq, max(struct(pack, len)) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS w FROM {m})", m=marks)
+    return running(marks, [F.col("seq")], highest={"w": F.struct("pack", "len")}).select("seq", "w.pack", "w.len")
 
 
 def guarded_fills(fills: DataFrame, epochs: DataFrame) -> DataFrame:
