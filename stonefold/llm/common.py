@@ -42,12 +42,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the files of shuffles and checkpoints that nothing refers to any more.
+    """Delete the files of shuffles and checkpoints that nothing refers to any more, and give the driver's free memory back.
 
     Spark's cleaner does so when the driver's garbage is collected, which on a
     large heap may be hours after a loop has left them; so collect it now.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
 
 

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stonefold.llm.common import checkpoint, claim, spread, texts
+from stonefold.llm.common import checkpoint, claim, release, spread, texts
 
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
@@ -252,14 +252,19 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     dealt = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"), "doc_id")
     requests = counted(checkpoint(block_counts(packed, dealt)))
     counts = checkpoint(requests.groupBy("g").agg(F.sum("n").alias("c")))
+    release(docs.sparkSession)
     known = requests.select("block", "g").join(probabilities(counts), "g").select("block", "g", (-F.log2("p")).cast("float").alias("bits"))
     raw = score_blocks(packed, known).join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left")
     raw = checkpoint(raw.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
+    del requests, counts, known
+    release(docs.sparkSession)
     of_trusted = lambda c: F.when(F.col("trusted"), F.col(c))
     # joins of plain tables, so that adaptive execution can split a hot language
     means = checkpoint(by_language(raw, F.sum(of_trusted("bits")) / F.sum(of_trusted("n_bytes"))).withColumnRenamed("value", "mean"))
     scored = raw.alias("r").join(means.alias("s"), F.expr("r.lang <=> s.lang")).select("r.*", ((F.col("bits") + F.col("mean") * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)).alias("score"))
     scored = checkpoint(scored)
+    del raw, means
+    release(docs.sparkSession)
     limits = quantiles(scored.where("trusted"), QUANTILE).select("lang", (F.col("value") * SLACK).alias("own"), "n")
     weight = F.least(F.col("n") / MIN_TRUSTED, F.lit(1.0))
     widened = F.greatest("own", F.col("own") * weight + UNKNOWN_BITS * (1 - weight))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stonefold.llm.common import checkpoint, claim, spread, texts
-from stonefold.llm.components import connected_components
+from stonefold.llm.components import connected_components, join_up
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -89,19 +89,6 @@ def shard_masks(n: int, radius: int = RADIUS) -> list[int]:
     raise ValueError("the radius is too large for 64 bits")
 
 
-def join_up(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after linking a[i] with b[i]; a label is the least index of its component."""
-    while True:
-        x, y = labels[a], labels[b]
-        apart = x != y
-        if not apart.any():
-            return labels
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
-        while (labels[labels] != labels).any():
-            labels = labels[labels]
-
-
 class BkForest:
     """BK-trees over `fp`, one for each run of equal `tree`; both are sorted by tree."""
 

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import xxhash
 
+from stonefold.llm import components
 from stonefold.llm.components import connected_components
 from stonefold.llm.simhash import BkForest, fingerprint, keep_one, links, near_duplicates, shard_masks
 
@@ -57,6 +58,29 @@ def test_components_equal_brute_force(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_in_rounds_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK_LINKS", 10)
+    rng = random.Random(6)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)] + [(i, i + 1) for i in range(300, 380)] + [(400, i) for i in range(401, 480)]
+    rng.shuffle(pairs)
+    found = [(r.node, r.root) for r in connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()]
+    want = roots(480, pairs)
+    assert sorted(found) == [(i, r) for i, r in enumerate(want) if r != i]
+
+
+def test_few_links_are_joined_up_without_rounds(spark):
+    """The driver's memory follows the stages and tasks, of which a round has many."""
+    df = spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long")
+    spark.sparkContext.setJobGroup("few-links", "components")
+    try:
+        found = connected_components(df)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 5
+    assert found.count() == 500 and [r.root for r in found.select("root").distinct().collect()] == [0]
+
+
 def test_links_join_up_all_near_fingerprints(spark):
     rng = random.Random(9)
     fps = sorted(clustered(rng, 300))
