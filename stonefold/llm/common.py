@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
@@ -31,14 +32,26 @@ def with_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="stonefold-checkpoint-"))
 
 
+#: Spark deletes the shuffles of a query at its end; read when a DataFrame is made.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and cut its lineage there.
 
-    The files live as long as the plan that reads them; Spark removes them
-    with the last reference, so a pipeline does not pile them up.
+    The shuffles that made it are deleted at once, as nothing reads them again
+    (what else is made of `df` itself runs its plan anew, as ever). The files
+    live as long as the plan that reads them; Spark removes them with the last
+    reference, so a pipeline does not pile them up.
     """
     with_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
 
 
 def release(spark: SparkSession) -> None:
@@ -46,8 +59,15 @@ def release(spark: SparkSession) -> None:
 
     Spark's cleaner does so when the driver's garbage is collected, which on a
     large heap may be hours after a loop has left them; so collect it now.
+    What Python lets go of is handed to a thread that may sleep for a second
+    before it tells the JVM, too late for the collection; so tell it here.
     """
     gc.collect()
+    let_go = getattr(spark._jvm._gateway_client, "finalizer_deque", None)
+    with contextlib.suppress(IndexError):  # the thread may take the last one
+        while let_go and isinstance(let_go[-1], tuple):  # else it is the sign that the thread ends
+            client, target = let_go.pop()
+            client.garbage_collect_object(target, False)
     pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
 
