@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -61,6 +62,8 @@ def release(spark: SparkSession) -> None:
     large heap may be hours after a loop has left them; so collect it now.
     What Python lets go of is handed to a thread that may sleep for a second
     before it tells the JVM, too late for the collection; so tell it here.
+    Even so one collection leaves the last query's files in most runs (why was
+    not found), and a second one, a little later, takes them.
     """
     gc.collect()
     let_go = getattr(spark._jvm._gateway_client, "finalizer_deque", None)
@@ -70,6 +73,8 @@ def release(spark: SparkSession) -> None:
             client.garbage_collect_object(target, False)
     pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
+    time.sleep(0.2)
+    spark._jvm.System.gc()
 
 
 def spread(df: DataFrame) -> DataFrame:
