@@ -40,17 +40,23 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and cut its lineage there.
 
-    The shuffles that made it are deleted at once, as nothing reads them again
-    (what else is made of `df` itself runs its plan anew, as ever). The files
-    live as long as the plan that reads them; Spark removes them with the last
-    reference, so a pipeline does not pile them up.
+    The files live as long as the plan that reads them; Spark removes them
+    with the last reference, so a pipeline does not pile them up.
     """
     with_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_alone(df: DataFrame) -> DataFrame:
+    """`checkpoint` that deletes the shuffles that made it at once, as nothing reads them again.
+
+    What else is made of `df` itself runs its plan anew, as ever.
+    """
     conf = df.sparkSession.conf
     before = conf.get(SHUFFLE_CLEANUP)
     conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)
+        return checkpoint(df.select("*"))
     finally:
         conf.set(SHUFFLE_CLEANUP, before)
 

@@ -42,7 +42,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stonefold.llm.common import checkpoint, claim, release, spread, texts
+from stonefold.llm.common import checkpoint_alone as checkpoint
+from stonefold.llm.common import claim, release, spread, texts
 
 ORDER = 5
 PAD = b"\n" * (ORDER - 1)
